@@ -31,7 +31,7 @@ i AS (
          CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS valor_frete
   FROM lineitem),
 j AS (
-  SELECT o.*, c.id_cliente, c.cep_prefixo_cliente, c.cidade_cliente, c.estado_cliente,
+  SELECT o.*, o.customer_id AS id_cliente, c.cep_prefixo_cliente, c.cidade_cliente, c.estado_cliente,
          i.id_item_pedido, i.id_produto, i.id_vendedor, i.valor_produto, i.valor_frete,
          max(i.ts_envio) OVER (PARTITION BY o.order_id) AS ts_entrega
   FROM o LEFT JOIN c ON o.customer_id = c.customer_id LEFT JOIN i ON o.order_id = i.order_id),
@@ -52,8 +52,8 @@ fato AS (
          cep_prefixo_cliente, cidade_cliente, estado_cliente, ts_compra, ts_entrega, ts_estimada
   FROM dd),
 cli AS (
-  SELECT DISTINCT id_cliente, cep_prefixo_cliente, cidade_cliente, estado_cliente
-  FROM fato WHERE id_cliente IS NOT NULL),
+  SELECT DISTINCT c.id_cliente, c.cep_prefixo_cliente, c.cidade_cliente, c.estado_cliente
+  FROM o LEFT JOIN c ON o.customer_id = c.customer_id WHERE c.id_cliente IS NOT NULL),
 prod AS (
   SELECT k.id_produto, p.p_type AS categoria_produto
   FROM (SELECT DISTINCT id_produto FROM fato WHERE id_produto IS NOT NULL) k

@@ -25,10 +25,11 @@ from salesmart.operators import payloads as P
 from salesmart.operators import quality as Q
 from salesmart.operators import reports as R
 from salesmart.operators import series as S
-from salesmart.operators.mart import build_mart, sales, sales_base
+from salesmart.operators import mart as mart_ops
+from salesmart.operators.mart import Mart, sales_base
 from salesmart.operators.orders import order_facts, with_customer
 from salesmart.params import driver_params
-from salesmart.sources.tpch import driver_base, raw_tables, table
+from salesmart.sources.tpch import driver_base, orders_customers, raw_tables, table
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -60,15 +61,35 @@ class Job:
 
     @cached_property
     def base(self) -> DataFrame:
-        return driver_base(self.spark, self.sf_dir, self.p)
+        return driver_base(self.raw, self.p)
 
     @cached_property
-    def mart(self):
-        return build_mart(self.base, self.raw.products, self.raw.sellers)
+    def fato(self) -> DataFrame:
+        return mart_ops.fato_vendas(self.base)
+
+    @cached_property
+    def dim_clientes(self) -> DataFrame:
+        return mart_ops.dim_clientes(orders_customers(self.raw))
+
+    @cached_property
+    def dim_produtos(self) -> DataFrame:
+        return mart_ops.dim_produtos(self.base, self.raw.products)
+
+    @cached_property
+    def dim_vendedores(self) -> DataFrame:
+        return mart_ops.dim_vendedores(self.base, self.raw.sellers)
+
+    @cached_property
+    def dim_tempo(self) -> DataFrame:
+        return mart_ops.dim_tempo(self.base)
+
+    @property
+    def mart(self) -> Mart:
+        return Mart(self.fato, self.dim_clientes, self.dim_produtos, self.dim_vendedores, self.dim_tempo)
 
     @cached_property
     def sales(self) -> DataFrame:
-        return sales(self.mart, self.p.period)
+        return self.fato.where(F.col("data").between(F.lit(self.p.period.start), F.lit(self.p.period.end)))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -76,7 +97,7 @@ class Job:
 
     @cached_property
     def orders_c(self) -> DataFrame:
-        return with_customer(self.orders, self.mart.dim_clientes)
+        return with_customer(self.orders, self.dim_clientes)
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -114,7 +135,7 @@ class Job:
 
     def customer_activity(self, start: str, end: str) -> DataFrame:
         """Snapshot of customers active in [start, end]: orders, first and last order date."""
-        f = self.mart.fato.where(F.col("data").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        f = self.fato.where(F.col("data").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         o = f.groupBy("id_pedido").agg(F.min("id_cliente").alias("id_cliente"), F.min("data").alias("data"))
         return (o.where(F.col("id_cliente").isNotNull()).groupBy("id_cliente")
                 .agg(F.count("*").alias("n_pedidos"),
@@ -169,22 +190,22 @@ def _late_flag(j: Job):
 
 
 def _item_value(j: Job):
-    return j.mart.fato.where(F.col("id_item_pedido").isNotNull()).select(
+    return j.fato.where(F.col("id_item_pedido").isNotNull()).select(
         "id_pedido", "id_item_pedido", "valor_produto", "valor_frete", "valor_total_item")
 
 
 def _item_freight_pct(j: Job):
-    return j.mart.fato.where(F.col("id_item_pedido").isNotNull()).select(
+    return j.fato.where(F.col("id_item_pedido").isNotNull()).select(
         "id_pedido", "id_item_pedido",
         F.round(share_pct("valor_frete", "valor_produto"), 6).alias("peso_frete_pct"))
 
 
 def _time_parts(j: Job):
-    return j.mart.dim_tempo
+    return j.dim_tempo
 
 
 def _analytic_base(j: Job):
-    b = j.base
+    b = j.base.drop("customer_unique_id").join(j.raw.customers, "customer_id", "left")
     return b.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
                     "order_delivered_customer_date", "order_estimated_delivery_date", "customer_city",
                     "customer_state", "order_item_id", "product_id", "seller_id", "price", "freight_value",
@@ -200,7 +221,7 @@ def _sales_base(j: Job):
 
 
 def _api_base(j: Job):
-    c = j.mart.dim_clientes.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
+    c = j.dim_clientes.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
     return j.sales.join(c, "id_cliente", "inner").select(
         "id_pedido", "id_item_pedido", "data", "estado_cliente",
         F.coalesce("valor_total_item", F.lit(0).cast("decimal(38,4)")).alias("valor_total_item"),
@@ -217,7 +238,7 @@ def _orders_dedup(j: Job):
 
 def _dim(name):
     def f(j: Job):
-        return getattr(j.mart, name)
+        return getattr(j, name)
     f.__name__ = name
     return f
 
@@ -240,15 +261,15 @@ def _profile_shape(j: Job):
 
 
 def _profile_nulls(j: Job):
-    return Q.profile_nulls(j.mart.fato).drop("tipo")
+    return Q.profile_nulls(j.fato).drop("tipo")
 
 
 def _profile_top_nulls(j: Job):
-    return Q.top_nulls(j.mart.fato, 15).drop("tipo")
+    return Q.top_nulls(j.fato, 15).drop("tipo")
 
 
 def _profile_duplicates(j: Job):
-    return Q.duplicate_rows(j.mart.fato)
+    return Q.duplicate_rows(j.fato)
 
 
 def _critical_orders(j: Job):
@@ -297,15 +318,15 @@ def _revenue_by_city(j: Job):
 
 
 def _revenue_by_seller(j: Job):
-    return R.revenue_by_seller(j.sales, j.mart.dim_vendedores, j.p.top_k)
+    return R.revenue_by_seller(j.sales, j.dim_vendedores, j.p.top_k)
 
 
 def _revenue_by_category(j: Job):
-    return R.revenue_by_category(j.sales, j.mart.dim_produtos, j.p.top_k)
+    return R.revenue_by_category(j.sales, j.dim_produtos, j.p.top_k)
 
 
 def _items_by_category(j: Job):
-    return R.items_by_category(j.sales, j.mart.dim_produtos, j.p.top_k)
+    return R.items_by_category(j.sales, j.dim_produtos, j.p.top_k)
 
 
 def _ticket_by_state(j: Job):
@@ -339,7 +360,7 @@ def _concentration_states(j: Job):
 
 def _concentration_sellers(j: Job):
     total = j.orders.agg(F.sum("receita_itens").alias("total"))
-    return R.concentration(R.revenue_by_seller(j.sales, j.mart.dim_vendedores, None),
+    return R.concentration(R.revenue_by_seller(j.sales, j.dim_vendedores, None),
                            "id_vendedor", "receita_total", total, 10)
 
 
