@@ -531,7 +531,7 @@ vals AS (SELECT x, count(*) AS c FROM x GROUP BY x),
 st AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n,
               stddev_samp(x) * pow(CAST(count(*) AS DOUBLE), -0.2) AS h FROM x),
 pts AS (SELECT CAST(i AS BIGINT) AS ponto, lo + (hi - lo) / 199.0 * CAST(i AS DOUBLE) AS g FROM st, range(0, 200) t(i)),
-s AS (SELECT ponto, g, sum(c * exp(-0.5 * pow((g - x) / h, 2))) AS s FROM pts, vals, st WHERE h > 0 GROUP BY ponto, g)
+s AS (SELECT ponto, g, sum(c * exp(-0.5 * (((g - x) / h) * ((g - x) / h)))) AS s FROM pts, vals, st WHERE h > 0 GROUP BY ponto, g)
 SELECT ponto, round(g, 6) AS x, round(s / (CAST(n AS DOUBLE) * h * sqrt(2 * pi())) * 1e6, 6) AS densidade_x1e6
 FROM s, st""",
     "payload_states": f"""
