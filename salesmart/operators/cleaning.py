@@ -55,9 +55,25 @@ def clean_items(items: DataFrame) -> DataFrame:
     return parse_timestamps(items, ["shipping_limit_date"])
 
 
+def keep_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left ⟕ right`` on ``key`` when ``right`` may hold a hot key (many rows per key).
+
+    Spark's skew handling cannot split the right side of a left outer join,
+    so one key with a third of the rows would land in one task. Written as
+    inner join (both sides splittable by AQE) plus the unmatched left rows
+    (anti join against the distinct right keys, which collapse map-side),
+    the result is the same rows.
+    """
+    matched = left.join(right, key, "inner")
+    keys = right.select(key).where(F.col(key).isNotNull()).distinct()
+    unmatched = left.join(keys, key, "left_anti")
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+    return matched.unionByName(unmatched.select("*", *extra))
+
+
 def analytic_base(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:
     """orders ⟕ customers ⟕ items: one row per item, plus one per itemless order."""
-    base = orders.join(customers, "customer_id", "left").join(items, "order_id", "left")
+    base = keep_left_join(orders.join(customers, "customer_id", "left"), items, "order_id")
     return derive_values(base)
 
 

@@ -18,7 +18,7 @@ o AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status,
          o_orderdate AS ts_compra,
          o_orderdate + to_days(365 * TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS ts_estimada
-  FROM orders),
+  FROM orders WHERE o_orderkey IS NOT NULL),
 c AS (
   SELECT c_custkey AS customer_id, c_custkey AS id_cliente,
          lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS cep_prefixo_cliente,

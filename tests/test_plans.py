@@ -28,12 +28,19 @@ def test_period_filter_reaches_orders_scan(static_spark):
     assert "GreaterThanOrEqual(o_orderdate" in orders_scan
 
 
-def test_order_aggregate_reuses_join_partitioning(static_spark):
+def test_skew_safe_base(static_spark):
     p = _plan(R.executive_dashboard(Job(static_spark, SF01).orders))
-    # lineitem and orders are shuffled once each by order key; the per-order
-    # aggregate and the window reuse it; one tiny single-partition merge remains
-    assert p.count("Exchange hashpartitioning") == 2
+    # no window over a hot key; the item join is inner (AQE can split a hot order on either side)
+    assert "Window" not in p
+    assert "SortMergeJoin [order_id#" in p and "], Inner" in p
+    # shuffles: orders once, the full item rows once, the per-order partial aggregate
+    # of items once (reused by the itemless branch), and the one-row final merge
+    assert p.count("- Exchange hashpartitioning") == 3
+    assert p.count("ReusedExchange") == 2
     assert p.count("Exchange SinglePartition") == 1
+    # the per-order aggregate after the union adds no shuffle of its own
+    after_union = p.split("Union")[0]
+    assert "- Exchange hashpartitioning" not in after_union
 
 
 def test_projection_pruned(static_spark):
