@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference computes every figure in batch (pandas scripts and SQL over a
+loaded warehouse) and has no watermark, window, session or state operator
+(SURVEY §2.14). The change log, the one place with an event flavour, is a row
+trigger there and a snapshot diff here (``operators.changelog``), which runs
+in batch on each new snapshot.
+"""
