@@ -120,8 +120,26 @@ def build_mart(base: DataFrame, products: DataFrame, sellers: DataFrame) -> Mart
 
 
 def sales(mart: Mart, period: Period) -> DataFrame:
-    """Fact rows of the period (F2); the date filter reaches the scan when the fact is stored."""
-    return mart.fato.where(F.col("data").between(F.lit(period.start), F.lit(period.end)))
+    """Fact rows of the period (F2).
+
+    The date filter reaches the scan; when the stored fact is partitioned by
+    ``ano_mes`` (``plans.store``) the month filter also prunes whole folders.
+    """
+    f = mart.fato.where(F.col("data").between(F.lit(period.start), F.lit(period.end)))
+    if "ano_mes" in mart.fato.columns:
+        f = f.where(F.col("ano_mes").between(period.first_month, period.last_month))
+    return f
+
+
+def translate_categories(dim_produtos: DataFrame, translation: DataFrame) -> DataFrame:
+    """Add the English category name from the translation file.
+
+    The lookup has one row per category; Spark broadcasts it when its size
+    check passes, otherwise it is a plain join.
+    """
+    t = translation.select(F.col("product_category_name").alias("categoria_produto"),
+                           F.col("product_category_name_english").alias("categoria_produto_en"))
+    return dim_produtos.join(t, "categoria_produto", "left")
 
 
 def sales_base(mart: Mart, period: Period) -> DataFrame:

@@ -68,9 +68,15 @@ def load_jdbc(tables: dict[str, DataFrame], url: str, properties: dict[str, str]
          .jdbc(url=url, table=name, properties=properties))
 
 
-def append_snapshot(df: DataFrame, path: str) -> None:
-    """Append one KPI snapshot (K6)."""
-    df.write.mode("append").parquet(path)
+def append_snapshot(df: DataFrame, path: str, run_col: str = "data_calculo") -> None:
+    """Append one KPI snapshot per run date (K6), idempotently.
+
+    Snapshots are partitioned by the run date and written with dynamic
+    partition overwrite: a retried or repeated run replaces its own date and
+    leaves the others, so a job restarted after a failure adds no duplicates.
+    """
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(run_col).parquet(path))
 
 
 def assert_unique(df: DataFrame, key: Sequence[str]) -> None:

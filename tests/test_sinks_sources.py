@@ -68,8 +68,9 @@ def test_parquet_append_refresh(spark, tmp_out):
     back = spark.read.parquet(os.path.join(tmp_out, "fact")).where(F.col("ano_mes") == "2017-02")
     assert back.count() == 1
     snap = os.path.join(tmp_out, "kpis")
-    W.append_snapshot(df.limit(1), snap)
-    W.append_snapshot(df.limit(1), snap)
+    W.append_snapshot(df.where("ano_mes = '2017-01'"), snap, run_col="ano_mes")
+    W.append_snapshot(df.where("ano_mes = '2017-01'"), snap, run_col="ano_mes")  # same run again: no duplicate
+    W.append_snapshot(df.where("ano_mes = '2017-02'"), snap, run_col="ano_mes")
     assert spark.read.parquet(snap).count() == 2
     W.refresh(df, os.path.join(tmp_out, "monthly"), ["ano_mes"])
     with pytest.raises(ValueError):
