@@ -85,6 +85,20 @@ def dim_clientes(base: DataFrame) -> DataFrame:
     return _rename(d, CUSTOMER_COLUMNS)
 
 
+def dim_clientes_by_key(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Customer dimension when the unique id is the customer key itself.
+
+    Then every order of a customer carries the same attributes, so "earliest
+    purchase wins" needs no per-customer ordering: the dimension is the
+    customers that have orders, a semi join against the order keys (which
+    collapse map-side) instead of shuffling every order to its customer.
+    """
+    # distinct first: each task ships one row per customer, so a hot customer stays small
+    keys = orders.select("customer_id").where(F.col("customer_id").isNotNull()).distinct()
+    d = customers.join(keys, "customer_id", "left_semi").where(F.col("customer_unique_id").isNotNull())
+    return _rename(d, CUSTOMER_COLUMNS)
+
+
 def _dim_from_keys(base: DataFrame, key: str, attrs: DataFrame, mapping: dict[str, str]) -> DataFrame:
     keys = base.select(key).where(F.col(key).isNotNull()).distinct()
     return _rename(keys.join(attrs, key, "left"), mapping)

@@ -29,7 +29,7 @@ from salesmart.operators import mart as mart_ops
 from salesmart.operators.mart import Mart, sales_base
 from salesmart.operators.orders import order_facts, with_customer
 from salesmart.params import driver_params
-from salesmart.sources.tpch import driver_base, orders_customers, raw_tables, table
+from salesmart.sources.tpch import driver_base, raw_tables, table
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ class Job:
 
     @cached_property
     def dim_clientes(self) -> DataFrame:
-        return mart_ops.dim_clientes(orders_customers(self.raw))
+        # in this adapter the unique customer id is the customer key (see sources.tpch)
+        return mart_ops.dim_clientes_by_key(self.raw.customers, self.raw.orders)
 
     @cached_property
     def dim_produtos(self) -> DataFrame:
