@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 from decimal import Decimal
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,62 +52,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-class RawTables(NamedTuple):
-    orders: DataFrame
-    customers: DataFrame
-    items: DataFrame
-    products: DataFrame
-    sellers: DataFrame
+class RawTables:
+    """The driver tables in the raw shape; each frame is built (and its table read) on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _t(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def nation(self) -> DataFrame:
+        return self._t("nation").select("n_nationkey", "n_name")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        o = self._t("orders").where(F.col("o_orderkey").isNotNull())  # primary key
+        priority = F.substring("o_orderpriority", 1, 1).try_cast("int")
+        return o.select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.col("o_orderstatus").alias("order_status"),
+            F.col("o_orderdate").alias("order_purchase_timestamp"),
+            F.timestamp_add("DAY", priority * F.lit(PRIORITY_DAYS), F.col("o_orderdate"))
+             .alias("order_estimated_delivery_date"),
+        )
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        c = self._t("customer")
+        n = self.nation
+        return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.col("c_custkey").alias("customer_unique_id"),
+            F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("customer_zip_code_prefix"),
+            F.lower(F.concat_ws(" ", "c_mktsegment", "n_name")).alias("customer_city"),
+            F.col("n_name").alias("customer_state"),
+        )
+
+    @cached_property
+    def items(self) -> DataFrame:
+        ext = F.col("l_extendedprice").cast("decimal(12,2)")
+        return self._t("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_linenumber").alias("order_item_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+            F.col("l_shipdate").alias("shipping_limit_date"),
+            (ext * (F.lit(Decimal("1")) - F.col("l_discount").cast("decimal(4,2)"))).alias("price"),
+            (ext * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._t("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.col("p_type").alias("product_category_name"),
+            F.length("p_name").alias("product_name_lenght"),
+            F.length(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("product_description_lenght"),
+            F.col("p_size").alias("product_weight_g"),
+        )
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        s = self._t("supplier")
+        n = self.nation
+        return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
+            F.col("s_suppkey").alias("seller_id"),
+            F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("seller_zip_code_prefix"),
+            F.lower("n_name").alias("seller_city"),
+            F.col("n_name").alias("seller_state"),
+        )
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    """Driver tables in the raw shape (each table read once)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey").isNotNull())  # primary key
-    priority = F.substring("o_orderpriority", 1, 1).try_cast("int")
-    orders = o.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        F.timestamp_add("DAY", priority * F.lit(PRIORITY_DAYS), F.col("o_orderdate"))
-         .alias("order_estimated_delivery_date"),
-    )
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    c = table(spark, sf_dir, "customer")
-    customers = c.join(nation, c.c_nationkey == nation.n_nationkey, "left").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
-        F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("customer_zip_code_prefix"),
-        F.lower(F.concat_ws(" ", "c_mktsegment", "n_name")).alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
-    )
-    li = table(spark, sf_dir, "lineitem")
-    ext = F.col("l_extendedprice").cast("decimal(12,2)")
-    items = li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        (ext * (F.lit(Decimal("1")) - F.col("l_discount").cast("decimal(4,2)"))).alias("price"),
-        (ext * F.col("l_tax").cast("decimal(4,2)")).alias("freight_value"),
-    )
-    p = table(spark, sf_dir, "part")
-    products = p.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_type").alias("product_category_name"),
-        F.length("p_name").alias("product_name_lenght"),
-        F.length(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("product_description_lenght"),
-        F.col("p_size").alias("product_weight_g"),
-    )
-    s = table(spark, sf_dir, "supplier")
-    sellers = s.join(nation, s.s_nationkey == nation.n_nationkey, "left").select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("seller_zip_code_prefix"),
-        F.lower("n_name").alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
-    )
-    return RawTables(orders, customers, items, products, sellers)
+    """Driver tables in the raw shape (each table read at most once)."""
+    return RawTables(spark, sf_dir)
 
 
 def driver_base(raw: RawTables, params: Params) -> DataFrame:
@@ -115,8 +135,7 @@ def driver_base(raw: RawTables, params: Params) -> DataFrame:
 
     Here the order's customer key already is the unique customer id, so the
     fact needs no customer join; customer attributes live in the customer
-    dimension (``orders_customers``), joined at order grain where a report
-    needs them.
+    dimension, joined at order grain where a report needs them.
 
     The delivered date (latest ship date of the order) and the item count are
     one aggregate, so they combine map-side and a hot order costs one row per
@@ -135,8 +154,3 @@ def driver_base(raw: RawTables, params: Params) -> DataFrame:
         "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in raw.items.schema.fields if f.name != "order_id"])
     joined = matched.unionByName(itemless).drop("_n_itens").withColumn("customer_unique_id", F.col("customer_id"))
     return derive_values(derive_delivery(joined, params.delivered_status))
-
-
-def orders_customers(raw: RawTables) -> DataFrame:
-    """orders ⟕ customers at order grain (J1): input of the customer dimension."""
-    return raw.orders.join(raw.customers, "customer_id", "left")
