@@ -28,10 +28,10 @@ def session_conf(shuffle_partitions: int = 8) -> dict[str, str]:
     }
 
 
-def get_session(master: str = "local[8]", app: str = "salesmart",
-                shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
+def get_session(master: str = "local[8]", app: str = "salesmart", shuffle_partitions: int = 8,
+                driver_memory: str = "8g", extra: dict[str, str] | None = None) -> SparkSession:
     b = SparkSession.builder.master(master).appName(app).config("spark.driver.memory", driver_memory)
-    for k, v in session_conf(shuffle_partitions).items():
+    for k, v in {**session_conf(shuffle_partitions), **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
