@@ -42,7 +42,7 @@ def change_log_view(log: DataFrame, width: int = 200) -> DataFrame:
 
 
 def retain(log: DataFrame, run_date: dt.date, days: int = 90, ts: str = "data_consulta") -> DataFrame:
-    """Keep records not older than ``days`` before ``run_date``; removal is strict ``<``."""
+    """Keep records not older than ``days`` before ``run_date``; removal is strict ``<``."""
     limit = F.date_sub(F.lit(run_date), days).cast("timestamp_ntz")
     return log.where(F.col(ts).cast("timestamp_ntz") >= limit)
 

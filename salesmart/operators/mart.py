@@ -67,6 +67,7 @@ class Mart(NamedTuple):
 
 
 def _rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Column subset with the mart's names."""
     return df.select(*[F.col(src).alias(dst) for src, dst in mapping.items() if src in df.columns])
 
 

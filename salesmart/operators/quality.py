@@ -56,7 +56,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows per table as one UNION ALL of counts."""
+    """Rows per table as one UNION ALL of counts."""
     parts = [df.agg(F.count("*").alias("quantidade")).select(F.lit(name).alias("tabela"), "quantidade")
              for name, df in tables.items()]
     out = parts[0]

@@ -87,7 +87,7 @@ def kpi_freight(orders: DataFrame) -> DataFrame:
 
 
 def executive_dashboard(orders: DataFrame) -> DataFrame:
-    """Six KPIs in one pass (A39): the reference's repeated scalar subqueries become one aggregate."""
+    """Six KPIs in one pass (A39): the reference's repeated scalar subqueries (J8) become one aggregate."""
     dlv = F.col("pedido_entregue") == 1
     a = orders.agg(
         F.sum("receita_itens").alias("receita_total"),
@@ -197,7 +197,11 @@ def late_rate_by(orders_c: DataFrame, dim: str = "estado_cliente", min_orders: i
 
 
 def delivery_time_by(orders_c: DataFrame, dim: str = "estado_cliente", weight: str = "item") -> DataFrame:
-    """Mean delivery days per dimension (A15 item-weighted / A16 order-weighted, T19)."""
+    """Mean delivery days per dimension (A15 item-weighted / A16 order-weighted, T19).
+
+    Only rows with a known time count (F4); the time and customer dimensions of
+    the SQL version (J6) are the period filter and ``orders_c``.
+    """
     if weight == "item":
         g = (orders_c.where(F.col("n_tempo_itens") > 0).groupBy(dim)
              .agg(F.sum("soma_tempo_itens").alias("s"), F.sum("n_tempo_itens").alias("n")))

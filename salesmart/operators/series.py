@@ -97,7 +97,7 @@ def guarded_corr(a, b) -> Column:
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation over pairs with both values present."""
+    """Correlation over pairs with both values present, rounded to 6 places."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
     return pairs.agg(F.count("*").alias("n_meses"), F.round(guarded_corr("a", "b"), 6).alias("correlacao"))

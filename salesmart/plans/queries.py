@@ -222,6 +222,7 @@ def _sales_base(j: Job):
 
 
 def _api_base(j: Job):
+    """Fact with customer state, NULL states dropped, money NULL -> 0."""
     c = j.dim_clientes.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
     return j.sales.join(c, "id_cliente", "inner").select(
         "id_pedido", "id_item_pedido", "data", "estado_cliente",
