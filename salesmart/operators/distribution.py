@@ -22,10 +22,11 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """
     x = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))
     rng = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    lo_s, hi_s = rng.select("lo").scalar(), rng.select("hi").scalar()  # one-row scalar subqueries
+    b = F.when(hi_s - lo_s == 0, F.lit(1)).otherwise(
+        F.least(F.floor((F.col("x") - lo_s) / (hi_s - lo_s) * F.lit(float(bins))) + 1, F.lit(bins)))
+    counts = x.groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("contagem"))
     width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(1)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width * F.lit(float(bins))) + 1, F.lit(bins)))
-    counts = x.crossJoin(rng).groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("contagem"))
     n_bins = F.when(width == 0, F.lit(1)).otherwise(F.lit(bins))
     grid = rng.select("lo", "hi", F.explode(F.sequence(F.lit(1), n_bins)).alias("bin"))
     edges = grid.select(
@@ -46,18 +47,19 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     st = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"),
                F.stddev_samp("x").alias("sd"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1))
-    g = F.col("lo") + step * F.col("ponto").cast("double")
-    z = (g - F.col("x")) / F.col("h")
+    lo, hi, n, h = (st.select(c).scalar() for c in ("lo", "hi", "n", "h"))  # one-row scalar subqueries
+    step = (hi - lo) / F.lit(float(grid - 1))
+    g = lo + step * F.col("ponto").cast("double")
+    z = (g - F.col("x")) / h
     kernel = F.exp(F.lit(-0.5) * (z * z))
     # a fixed fan-out of `grid` rows per value; explode + project stay in
     # whole-stage codegen, and the sum per grid point combines map-side, so the
     # values themselves are never shuffled
-    per_point = (x.crossJoin(st.where(F.col("h") > 0))  # one-row stats
-                 .select("x", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("ponto"))
+    per_point = (x.where(h > 0)
+                 .select("x", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("ponto"))
                  .groupBy("ponto").agg(F.sum(kernel).alias("s")))
-    norm = F.col("n").cast("double") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    return per_point.crossJoin(st).select(
+    norm = n.cast("double") * h * F.lit(math.sqrt(2 * math.pi))
+    return per_point.select(
         F.col("ponto").cast("bigint").alias("ponto"),
-        F.round(F.col("lo") + step * F.col("ponto").cast("double"), 6).alias("x"),
+        F.round(lo + step * F.col("ponto").cast("double"), 6).alias("x"),
         F.round(F.col("s") / norm * F.lit(1e6), 6).alias("densidade_x1e6"))

@@ -30,8 +30,10 @@ def trend(numbered: DataFrame, y: str, group_cols: Sequence[str] = (), x: str =
 
 
 def _join_fit(df: DataFrame, fit: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    # one fit row per group: broadcast-sized by construction (one row per series)
-    return df.join(F.broadcast(fit), list(group_cols), "inner") if group_cols else df.crossJoin(fit)
+    if group_cols:
+        # one fit row per series: broadcast-sized by construction
+        return df.join(F.broadcast(fit), list(group_cols), "inner")
+    return df.withColumns({c: fit.select(c).scalar() for c in fit.columns})  # one-row fit as scalars
 
 
 def predicted(slope: str = "inclinacao", intercept: str = "intercepto", x: str = "mes_num") -> Column:

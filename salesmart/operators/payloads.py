@@ -23,8 +23,9 @@ def ranked(df: DataFrame, value: str, key: str) -> DataFrame:
 
 def ordered_map(rows: DataFrame, rank: str, key: str, value: str) -> DataFrame:
     """One row with a map key -> value in rank order."""
-    entries = F.array_sort(F.collect_list(F.struct(rank, key, value)))
-    kv = F.transform(entries, lambda e: F.struct(e[key].alias("key"), e[value].alias("value")))
+    entry = F.struct(F.col(rank).alias("r"), F.col(key).alias("k"), F.col(value).alias("v"))
+    entries = F.array_sort(F.collect_list(entry))
+    kv = F.transform(entries, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))
     return rows.agg(F.map_from_entries(kv).alias("mapa"))
 
 
@@ -51,7 +52,7 @@ def payload_states(orders_c: DataFrame, focus_state: str) -> DataFrame:
     """State -> money text map plus the focus state's share."""
     m = ordered_map(state_revenue_rows(orders_c), "posicao", "estado_cliente", "receita_texto")
     s = R.state_share(orders_c, focus_state).select(pct_text("participacao_pct").alias("participacao_foco"))
-    return m.crossJoin(s).select(F.to_json("mapa").alias("receita_por_estado"), "participacao_foco")
+    return m.select(F.to_json("mapa").alias("receita_por_estado"), s.scalar().alias("participacao_foco"))
 
 
 def month_revenue_rows(orders: DataFrame) -> DataFrame:
@@ -70,8 +71,8 @@ def payload_months(orders: DataFrame) -> DataFrame:
 def payload_insights(orders: DataFrame) -> DataFrame:
     """Critical orders and late rate, numbers and text."""
     c = R.critical_orders(orders)
-    lt = R.late_rate(orders).select("taxa_atraso_pct")
-    return c.crossJoin(lt).select(
+    lt = R.late_rate(orders).select("taxa_atraso_pct").scalar()
+    return c.withColumn("taxa_atraso_pct", lt).select(
         "pedidos_criticos", "total_pedidos", F.round("pct_criticos", 6).alias("pct_criticos"),
         pct_text("pct_criticos").alias("pct_criticos_texto"),
         F.round("taxa_atraso_pct", 6).alias("taxa_atraso_pct"),

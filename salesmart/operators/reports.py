@@ -223,11 +223,11 @@ def revenue_by_status(orders: DataFrame) -> DataFrame:
 def concentration(ranking: DataFrame, key: str, value: str, total: DataFrame, k: int) -> DataFrame:
     """Share of the total for the top-k, each and running.
 
-    ``total`` is a one-row aggregate, so the cross join is a broadcast of one row.
+    ``total`` is a one-row aggregate, read as a scalar subquery.
     """
     t = top(ranking.where(F.col(key).isNotNull()), value, key, k)
     w = Window.orderBy(F.col(value).desc(), F.col(key).asc())  # k rows only, after the limit
-    t = t.crossJoin(total.select(F.col("total").alias("_total")))
+    t = t.withColumn("_total", total.select("total").scalar())
     return t.select(
         F.row_number().over(w).alias("posicao"), key, value,
         ratio(value, "_total", 100.0).alias("participacao_pct"),

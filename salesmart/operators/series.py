@@ -57,14 +57,11 @@ def trimmed_mean(g: DataFrame, col: str = "crescimento_mom_pct", lo: float = 0.0
     ``min_n`` values nothing is trimmed.
     """
     v = g.where(F.col(col).isNotNull()).select(F.col(col).alias("x"))
-    stats = v.agg(F.count("*").alias("n_crescimentos"),
-                  F.percentile("x", lo).alias("p_inf"), F.percentile("x", hi).alias("p_sup"))
-    keep = (F.col("n_crescimentos") < min_n) | F.col("x").between(F.col("p_inf"), F.col("p_sup"))
-    used = v.crossJoin(stats).where(keep)  # stats is one row
-    a = used.agg(F.count("*").alias("n_usados"), F.avg("x").alias("media"))
-    return stats.crossJoin(a).select(
-        "n_crescimentos", F.round("p_inf", 6).alias("p_inf"), F.round("p_sup", 6).alias("p_sup"),
-        "n_usados", F.round("media", 6).alias("crescimento_medio_pct"))
+    stats = v.agg(F.count("*").alias("n"), F.percentile("x", lo).alias("p_inf"), F.percentile("x", hi).alias("p_sup"))
+    n, p_inf, p_sup = (stats.select(c).scalar() for c in ("n", "p_inf", "p_sup"))  # one-row scalar subqueries
+    used = v.where((n < min_n) | F.col("x").between(p_inf, p_sup))
+    return used.agg(n.alias("n_crescimentos"), F.round(p_inf, 6).alias("p_inf"), F.round(p_sup, 6).alias("p_sup"),
+                    F.count("*").alias("n_usados"), F.round(F.avg("x"), 6).alias("crescimento_medio_pct"))
 
 
 def month_spine(spark: SparkSession, period: Period) -> DataFrame:
