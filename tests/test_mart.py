@@ -4,7 +4,6 @@ Cases: itemless order (T4), customer with two addresses (T7), null category (T5)
 not delivered / delivered without date (T2), bad timestamp text (T18).
 """
 
-import datetime as dt
 from decimal import Decimal
 
 import pytest

@@ -4,8 +4,6 @@ materialized order facts, idempotent snapshot append, category translation."""
 import datetime as dt
 import os
 
-import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from salesmart.operators import reports as R
