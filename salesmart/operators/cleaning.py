@@ -71,6 +71,39 @@ def keep_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return matched.unionByName(unmatched.select("*", *extra))
 
 
+def split_hot_keys(left: DataFrame, right: DataFrame, key: str, right_counts: DataFrame,
+                   hot_rows: int, max_hot_keys: int = 1_000_000) -> DataFrame:
+    """Inner join ``left ⋈ right`` on ``key`` that spreads hot keys of ``right`` over tasks.
+
+    ``right_counts`` (key, n) holds the number of ``right`` rows per key; the
+    caller usually has it already. Keys with more than ``hot_rows`` rows get
+    ``ceil(n / hot_rows)`` salt buckets: each of their ``right`` rows picks a
+    bucket by a hash of its columns and the ``left`` row is copied once per
+    bucket, so the join key (key, bucket) spreads one hot key over many tasks.
+    Other keys keep bucket 0. AQE cannot split this join itself when the left
+    side comes from an earlier join in the same stage.
+
+    The hot-key list has at most total rows / ``hot_rows`` entries; its size is
+    counted before it is broadcast, and without hot keys the plain join runs.
+    """
+    hot = (right_counts.where(F.col("n") > hot_rows)
+           .select(key, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_buckets")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return left.join(right, key, "inner")
+    if n_hot > max_hot_keys:
+        raise ValueError(f"{n_hot} hot keys above {hot_rows} rows: raise hot_rows")
+    hot = F.broadcast(hot)  # checked above: at most max_hot_keys rows
+    buckets = F.coalesce(F.col("_buckets"), F.lit(1))
+    r = (right.join(hot, key, "left")
+         .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), buckets).cast("int"))
+         .drop("_buckets"))
+    lft = (left.join(hot, key, "left")
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
+           .drop("_buckets"))
+    return lft.join(r, [key, "_salt"], "inner").drop("_salt")
+
+
 def analytic_base(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:
     """orders ⟕ customers ⟕ items: one row per item, plus one per itemless order."""
     base = keep_left_join(orders.join(customers, "customer_id", "left"), items, "order_id")

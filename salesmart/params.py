@@ -52,6 +52,7 @@ class Params:
     delivered_status: str = "delivered"
     top_k: int = 10
     focus_state: str = "SP"
+    hot_rows: int = 5_000_000  # rows of one key above which a join key is salted
 
 
 # Fixed values of the reference's own study (Olist data): period Jan 2017 - Aug 2018,

@@ -21,10 +21,11 @@ import os
 from decimal import Decimal
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.operators.cleaning import derive_delivery, derive_values
+from salesmart.operators.cleaning import derive_delivery, derive_values, split_hot_keys
 from salesmart.params import Params
 
 PRIORITY_DAYS = 365  # promised days per priority step (1-URGENT .. 5-LOW)
@@ -140,16 +141,21 @@ def driver_base(raw: RawTables, params: Params) -> DataFrame:
     The delivered date (latest ship date of the order) and the item count are
     one aggregate, so they combine map-side and a hot order costs one row per
     task; they join the orders 1:1. Orders with items then join the items as
-    an inner join (AQE can split a hot order on either side), and itemless
-    orders are added back from the count: no outer join whose skewed side
-    could not be split (see ``keep_left_join``). Filters on order columns (the
+    an inner join, with orders above ``params.hot_rows`` items salted over
+    several tasks (``split_hot_keys``), and itemless orders are added back
+    from the count: no outer join whose skewed side could not be split. Filters on order columns (the
     report period) reach the orders scan.
     """
+    # kept (memory, spilling to disk) because the hot-key check and the join both read it;
+    # the cached copy keeps its partitioning by order key
     per_order = raw.items.groupBy("order_id").agg(
-        F.max("shipping_limit_date").alias("order_delivered_customer_date"), F.count("*").alias("_n_itens"))
+        F.max("shipping_limit_date").alias("order_delivered_customer_date"),
+        F.count("*").alias("_n_itens")).persist(StorageLevel.MEMORY_AND_DISK)
     orders = raw.orders.join(per_order, "order_id", "left")
-    # both branches read the same (order, max, count) rows, so Spark shuffles them once
-    matched = orders.where(F.col("_n_itens") > 0).join(raw.items, "order_id", "inner")
+    # both branches read the same (order, max, count) rows, so Spark shuffles them once;
+    # an order with more than `hot_rows` items is salted over several tasks
+    counts = per_order.select("order_id", F.col("_n_itens").alias("n"))
+    matched = split_hot_keys(orders.where(F.col("_n_itens") > 0), raw.items, "order_id", counts, params.hot_rows)
     itemless = orders.where(F.col("_n_itens").isNull()).select(
         "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in raw.items.schema.fields if f.name != "order_id"])
     joined = matched.unionByName(itemless).drop("_n_itens").withColumn("customer_unique_id", F.col("customer_id"))

@@ -1,5 +1,7 @@
 """Plan shape: what must hold for the jobs to scale (filters at the scan, shuffle reuse)."""
 
+import re
+
 import pytest
 
 from conftest import SF01
@@ -33,10 +35,12 @@ def test_skew_safe_base(static_spark):
     # no window over a hot key; the item join is inner (AQE can split a hot order on either side)
     assert "Window" not in p
     assert "SortMergeJoin [order_id#" in p and "], Inner" in p
-    # shuffles: orders once, the full item rows once, the per-order partial aggregate
-    # of items once (reused by the itemless branch), and the one-row final merge
-    assert p.count("- Exchange hashpartitioning") == 3
-    assert p.count("ReusedExchange") == 2
+    # shuffles: orders once, the full item rows once, the per-order aggregate of
+    # items once (cached: read by the hot-key check, the join and the itemless
+    # branch, keeping its partitioning), and the one-row final merge
+    ids = set(re.findall(r"Exchange hashpartitioning\([^\n]*plan_id=(\d+)", p))
+    assert len(ids) == 3
+    assert "InMemoryTableScan" in p
     assert p.count("Exchange SinglePartition") == 1
     # the per-order aggregate after the union adds no shuffle of its own
     after_union = p.split("Union")[0]
