@@ -2,8 +2,9 @@
 
 Dimensions are built from the keys the base actually uses. The customer
 dimension keeps, per unique customer, the attributes of the earliest purchase
-(T7): ``min_by`` is an aggregate, so it combines map-side before the shuffle
-instead of sorting every row of a customer in one task.
+(T7): ``min_by`` is an aggregate (sort-based, as its keys are structs), so it
+combines per task before the shuffle instead of a window that would sort
+every row of a hot customer in one task.
 """
 
 from __future__ import annotations
