@@ -55,9 +55,9 @@ class Params:
     hot_rows: int = 5_000_000  # rows of one key above which a join key is salted
 
 
-# Fixed values of the reference's own study (Olist data): period Jan 2017 - Aug 2018,
+# Fixed values of the reference's own study: period Jan 2017 - Aug 2018,
 # critical order total < R$100 with freight > 30 %, late ranking needs >= 100 orders.
-OLIST = Params(period=Period.of("2017-01-01", "2018-08-31"))
+STUDY = Params(period=Period.of("2017-01-01", "2018-08-31"))
 
 
 def sf_of(sf_dir: str) -> float | None:

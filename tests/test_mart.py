@@ -1,4 +1,4 @@
-"""Raw olist-shaped rows -> cleaning -> base -> star schema -> per-order facts and KPIs.
+"""Raw-shaped order, item, customer, product and seller rows -> cleaning -> base -> star schema -> per-order facts and KPIs.
 
 Cases: itemless order (T4), customer with two addresses (T7), null category (T5),
 not delivered / delivered without date (T2), bad timestamp text (T18).
@@ -13,7 +13,7 @@ from salesmart.operators import reports as R
 from salesmart.operators.cleaning import analytic_base, clean_items, clean_orders
 from salesmart.operators.mart import build_mart, sales, sales_base
 from salesmart.operators.orders import order_facts, with_customer
-from salesmart.params import OLIST, Period
+from salesmart.params import STUDY, Period
 from salesmart.sources.files import RAW_CUSTOMERS, RAW_ITEMS, RAW_ORDERS, RAW_PRODUCTS, RAW_SELLERS
 
 D = Decimal
@@ -84,8 +84,8 @@ def test_dimensions(mart):
 
 
 def test_order_facts_and_kpis(mart):
-    s = sales(mart, OLIST.period)
-    o = order_facts(s, OLIST.thresholds)
+    s = sales(mart, STUDY.period)
+    o = order_facts(s, STUDY.thresholds)
     rows = {r["id_pedido"]: r for r in o.collect()}
     assert set(rows) == {"o1", "o2", "o3", "o4", "o5"}  # o6 is outside the period
     assert rows["o4"]["valor_pedido"] == 0 and rows["o4"]["receita_itens"] is None  # T4
@@ -102,8 +102,8 @@ def test_order_facts_and_kpis(mart):
 
 
 def test_rankings(mart, spark):
-    s = sales(mart, OLIST.period)
-    o = order_facts(s, OLIST.thresholds)
+    s = sales(mart, STUDY.period)
+    o = order_facts(s, STUDY.thresholds)
     oc = with_customer(o, mart.dim_clientes)
     st = {r[0]: r[1] for r in R.revenue_by(oc, "estado_cliente").collect()}
     assert st == {"SP": D("315.0000"), "RJ": D("35.0000"), "MG": None, "BA": D("12.0000")}
@@ -113,7 +113,7 @@ def test_rankings(mart, spark):
     assert sel == {"s1": D("107.0000"), "s2": D("255.0000")}
     top = R.revenue_by_seller(s, mart.dim_vendedores, 1).collect()
     assert [r[0] for r in top] == ["s2"]
-    sb = sales_base(mart, OLIST.period)
+    sb = sales_base(mart, STUDY.period)
     # p2 (no category) on o1 and o5, plus the itemless o4: the null-category group of the left joins
     assert sb.count() == 6 and sb.where(F.col("categoria_produto").isNull()).count() == 3
     dt_ = R.delivery_time_by(oc, "estado_cliente", "item").collect()
@@ -122,7 +122,7 @@ def test_rankings(mart, spark):
 
 def test_invariants_on_small_period(mart):
     s = sales(mart, Period.of("2017-01-01", "2018-08-31"))
-    o = order_facts(s, OLIST.thresholds)
+    o = order_facts(s, STUDY.thresholds)
     oc = with_customer(o, mart.dim_clientes, "left")
     total = o.agg(F.sum("receita_itens")).first()[0]
     by_month = o.groupBy("ano_mes").agg(F.sum("receita_itens").alias("r")).agg(F.sum("r")).first()[0]
