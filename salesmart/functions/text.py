@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The reference's report texts -- money prefix, day-count suffix,
+# and the yes / no words of the critical-order verdict.
+CURRENCY_PREFIX = "R$ "
+DAYS_SUFFIX = " dias"
+YES, NO = "Sim", "Não"
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -26,7 +32,7 @@ def number_br(c, decimals: int = 2) -> Column:
 
 def brl(c) -> Column:
     """Money text ``R$ 1.234,56``."""
-    return F.concat(F.lit("R$ "), number_br(c, 2))
+    return F.concat(F.lit(CURRENCY_PREFIX), number_br(c, 2))
 
 
 def pct_text(c) -> Column:
@@ -41,7 +47,7 @@ def int_text(c) -> Column:
 
 def days_text(c) -> Column:
     """Rounded day count with suffix: ``12 dias``."""
-    return F.concat(F.round(_c(c).cast("decimal(38,10)"), 0).cast("bigint").cast("string"), F.lit(" dias"))
+    return F.concat(F.round(_c(c).cast("decimal(38,10)"), 0).cast("bigint").cast("string"), F.lit(DAYS_SUFFIX))
 
 
 def millions(c) -> Column:

@@ -16,6 +16,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesmart.functions.text import NO, YES
+
 
 def _d(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -310,7 +312,7 @@ def view_critical_orders(orders: DataFrame) -> DataFrame:
         F.col("receita_itens").alias("valor_pedido"),
         F.col("frete_itens").alias("frete_pedido"),
         ratio("frete_itens", "receita_itens", 100.0).alias("peso_frete_pct"),
-        F.when(F.col("pedido_critico") == 1, "Sim").otherwise("Não").alias("is_critico"),
+        F.when(F.col("pedido_critico") == 1, YES).otherwise(NO).alias("is_critico"),
         ratio("frete_itens", "receita_itens").alias("ordem_critico"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmart.functions.columns import city_normal, share_pct
-from salesmart.functions.text import brl, int_text
+from salesmart.functions.text import YES, brl, int_text
 from salesmart.operators import changelog as G
 from salesmart.operators import distribution as D
 from salesmart.operators import forecast as M
@@ -403,7 +403,7 @@ def _view_critical_orders(j: Job):
 
 
 def _critical_orders_list(j: Job):
-    return R.view_critical_orders(j.orders).where(F.col("is_critico") == "Sim")
+    return R.view_critical_orders(j.orders).where(F.col("is_critico") == YES)
 
 
 def _view_delivery_performance(j: Job):
