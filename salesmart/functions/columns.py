@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from salesmart.params import Thresholds
 
-_MICROS_PER_DAY = 86_400_000_000.0
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -40,10 +38,16 @@ def elapsed_days(start, end) -> Column:
     """Whole days from ``start`` to ``end``, floored.
 
     12 hours early is -1; "late" needs a full day. ``timestampdiff(DAY)``
-    truncates toward zero and ``datediff`` counts midnights, so neither fits.
+    truncates toward zero and ``datediff`` counts midnights, so neither fits
+    alone: floor(end - start) is the midnights crossed, minus one when the
+    end's time of day is before the start's. Everything is wall-clock
+    arithmetic on timestamps without time zone, so the session time zone
+    (and a daylight-saving switch inside the span) cannot move the result.
     """
-    micros = F.timestamp_diff("MICROSECOND", _c(start), _c(end))
-    return F.floor(micros / F.lit(_MICROS_PER_DAY))
+    a, b = _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz")
+    tod_a = a - F.to_date(a).cast("timestamp_ntz")
+    tod_b = b - F.to_date(b).cast("timestamp_ntz")
+    return (F.datediff(F.to_date(b), F.to_date(a)) - F.when(tod_b < tod_a, 1).otherwise(0)).cast("bigint")
 
 
 def late_flag(status, delay_days, delivered_status: str = "delivered") -> Column:
@@ -65,8 +69,12 @@ def item_total(price, freight) -> Column:
 
 
 def year_month(ts) -> Column:
-    """Zero-padded ``yyyy-MM`` key; sorts by time as text."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    """Zero-padded ``yyyy-MM`` key; sorts by time as text.
+
+    Formatted from the date, so a timestamp without time zone never passes
+    through the session zone.
+    """
+    return F.date_format(F.to_date(_c(ts)), "yyyy-MM")
 
 
 def month_name(d) -> Column:

@@ -42,7 +42,9 @@ def finish(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif isinstance(t, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(t, T.TimestampNTZType):
+            c = c.cast("string")  # wall clock as stored; date_format would pass through the session zone
+        elif isinstance(t, T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         cols.append(c.alias(f.name))
     return df.select(*cols)
@@ -153,7 +155,7 @@ class Job:
 
     @cached_property
     def change_log(self) -> DataFrame:
-        at = F.to_timestamp(F.coalesce(F.col("_new.ultimo_pedido"), F.col("_old.ultimo_pedido")))
+        at = F.to_timestamp_ntz(F.coalesce(F.col("_new.ultimo_pedido"), F.col("_old.ultimo_pedido")))
         return G.change_log(self.activity_old, self.activity_new, "id_cliente", "clientes_ativos", at)
 
 

@@ -71,3 +71,17 @@ def test_ansi_stays_on(spark):
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     df = spark.createDataFrame([("1",)], "x string")
     assert df.select(F.col("x").try_cast("int")).first()[0] == 1
+
+
+def test_day_counts_ignore_session_zone(spark):
+    # 2000-10-08 starts daylight saving in São Paulo: 12:00 -> 12:00 next day is 23 real hours,
+    # but one wall-clock day, as in the reference's naive timestamps
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        rows = [(dt.datetime(2000, 10, 7, 12), dt.datetime(2000, 10, 8, 12)),
+                (dt.datetime(2000, 10, 8, 0), dt.datetime(2000, 10, 9, 0))]
+        df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+        assert [r[0] for r in df.select(elapsed_days("a", "b")).collect()] == [1, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
