@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import lengths, linededup, packing, repair, streamdedup, urlfilter
+from salesmart.llm import lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
 from salesmart.llm.common import table
 
 #: (verdict, host, path) of the rules that op7 judges by.
@@ -31,6 +31,10 @@ def op4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limit_table(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -39,12 +43,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark, table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair, op3_packing, op4_lengths, op6_stream_dedup, op7_url_filter, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_repair, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op10_line_dedup)}
 
 
 OP6 = """
