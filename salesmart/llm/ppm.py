@@ -40,9 +40,9 @@ from salesmart.llm.common import map_arrow, run_folder, ship, texts
 from salesmart.llm.tokens import slices, text_buffers
 from salesmart.llm.words import LOWER, Words
 
-ORDER = 4
+ORDER = 5
 PAD, END = 0xFE, 0xFF
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 40 << 20
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
                         new = np.setdiff1d(keys[~mask], seen)
                         held.append(pa.table({"key": pa.array(np.concatenate([seen, new]).astype(np.int64)), "n": pa.array(np.concatenate([n, np.zeros(len(new), np.int64)]))}))
                     size += len(held[-1])
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         held = [summed()]
                         size = len(held[0])
         if held:

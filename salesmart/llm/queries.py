@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
+from salesmart.llm import bm25, lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
 from salesmart.llm.common import table
 
 #: (verdict, host, path) of the rules that op7 judges by.
@@ -47,12 +47,16 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_repair, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup)}
 
 
 OP6 = """
