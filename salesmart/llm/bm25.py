@@ -5,10 +5,11 @@ most ``PART`` words. A part's postings weigh its terms by BM25 (``K1``, ``B``),
 score that the part's own text gets, so 1 means that a passage has all terms of the part. Passages
 are windows of ``2 * PART`` words at every ``PART``-th word of a document, so each run of PART words
 lies in one window whole. Postings are kept in blocks of ``BLOCK`` parts with the greatest weight of
-each term in each block. A window is scored block-max WAND's way: the sum of its terms' greatest
-weights bounds its scores, then the sum of their block maxima bounds those of a block, and only
-blocks whose bound reaches ``threshold`` are scored in full. That keeps all parts above the
-threshold, with no top-k. Windows of a batch are handled together as arrays.
+each term in each block. Windows are scored block-max WAND's way, a batch of them at once: in each
+block, the terms with the least block maxima, up to a sum of ``LIGHT``, cannot reach ``threshold``
+by themselves, so only the lists of the other terms are walked; their block maxima plus that sum
+bound a window's scores in the block. Blocks whose bound reaches ``threshold`` are bounded again by
+part, and those that still reach it are scored in full. That keeps all parts above the threshold, with no top-k.
 
 A part that reaches the threshold names its item, which is verified on the words of the whole
 document: question and answer must both have ``overlap`` of their distinct shingles of five words
@@ -30,14 +31,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.llm.common import ascii_lower, map_arrow, texts
 from salesmart.llm.tokens import ragged, slices, text_buffers
-from salesmart.llm.words import Words, mix
+from salesmart.llm.words import Words, distinct, mix
 
-K1, B, PART, BLOCK, SIZE = 1.2, 0.75, 64, 16, 5
+K1, B, PART, BLOCK, LIGHT, SIZE = 1.2, 0.75, 64, 4, 0.4, 5
 SHARD_CHARS = 32 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -97,33 +99,72 @@ class Index:
         self.list_end = np.append(self.list_start[1:], len(of))
         self.list_max = np.maximum.reduceat(self.weight, self.list_start) if len(of) else np.zeros(0)
         self.list_block = self.list_key % max(1, self.blocks)
-        list_term = self.list_key // max(1, self.blocks)
-        self.term_start = np.searchsorted(list_term, np.arange(len(self.terms) + 1))
-        self.term_max = np.maximum.reduceat(self.list_max, self.term_start[:-1]) if len(of) else np.zeros(0)
-
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-        """(window, part, score) of all scores >= threshold; ``terms``: sorted window * 2**32 + term, distinct."""
-        window, term = terms >> 32, terms & 0xFFFFFFFF
-        # the bounds are sums in another order than the scores, hence the margin
-        floor = threshold - 1e-9
-        names, at = np.unique(window, return_inverse=True)
-        bound = np.bincount(at, weights=self.term_max[term])
-        keep = bound[at] >= floor
-        window, term = window[keep], term[keep]
-        lists = self.term_start[term + 1] - self.term_start[term]
-        which = ragged(self.term_start[term], lists)
-        cell = np.repeat(window, lists) * self.blocks + self.list_block[which]
-        cells, at = np.unique(cell, return_inverse=True)
-        bound = np.bincount(at, weights=self.list_max[which], minlength=len(cells))
-        keep = bound[at] >= floor
-        which, cell = which[keep], cell[keep]
-        n = self.list_end[which] - self.list_start[which]
-        post = ragged(self.list_start[which], n)
-        key = np.repeat(cell // max(1, self.blocks), n) * len(self.part_item) + self.part[post]
-        keys, at = np.unique(key, return_inverse=True)
-        score = np.bincount(at, weights=self.weight[post], minlength=len(keys))
-        hit = np.flatnonzero(score >= floor)
-        return list(zip((keys[hit] // len(self.part_item)).tolist(), (keys[hit] % len(self.part_item)).tolist(), score[hit].tolist()))
+        self.names = pa.array([t.decode() for t in self.terms], pa.string())
+        # the lightest lists of each block, as many as weigh LIGHT together, are not walked
+        order = np.lexsort((self.list_max, self.list_block))
+        upto = np.cumsum(self.list_max[order])
+        block = self.list_block[order]
+        start = np.searchsorted(block, np.arange(self.blocks))
+        upto -= np.concatenate([[0], upto])[start][block] if len(order) else 0
+        light = np.zeros(len(order), dtype=bool)
+        light[order] = upto <= LIGHT
+        self.light = np.bincount(self.list_block[light], weights=self.list_max[light], minlength=self.blocks)
+        walked = np.flatnonzero(~light)
+        self.walk_block, self.walk_max = self.list_block[walked], self.list_max[walked]
+        self.walk_from, self.walk_size = self.list_start[walked], (self.list_end - self.list_start)[walked]
+        post = ragged(self.list_start[light], (self.list_end - self.list_start)[light])
+        self.light_part = np.bincount(self.part[post], weights=self.weight[post], minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+        self.walk_start = np.searchsorted(self.list_key[walked] // max(1, self.blocks), np.arange(len(self.terms) + 1))
+
+    def bounded(self, term: np.ndarray, stretch: np.ndarray, n: int, joined: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(window, block) whose bound reaches the threshold; window k is stretch k and, where ``joined``, k + 1."""
+        windows, blocks = [], []
+        step = max(1, (1 << 21) // max(1, self.blocks))  # stretches of one dense table
+        edge = np.searchsorted(stretch, np.arange(0, n + step + 1, step))
+        for i, at in enumerate(range(0, n, step)):
+            end = min(at + step, n)
+            # one stretch more, for the last window
+            own = slice(edge[i], edge[i + 1] if end == n else np.searchsorted(stretch, end + 1))
+            t = term[own]
+            lists = self.walk_start[t + 1] - self.walk_start[t]
+            which = ragged(self.walk_start[t], lists)
+            cell = np.repeat(stretch[own] - at, lists) * self.blocks + self.walk_block[which]
+            sums = np.bincount(cell, weights=self.walk_max[which], minlength=(end - at + 1) * self.blocks)
+            sums = sums.reshape(-1, self.blocks)
+            bound = sums[: end - at] + np.where(joined[at:end, None], sums[1 : end - at + 1], 0.0) + self.light
+            open_ = bound >= threshold - 1e-9
+            # in the blocks left, the same by part: postings of the stretches of an open window
+            need = np.zeros_like(sums, dtype=bool)
+            need[: end - at] = open_
+            need[1 : end - at + 1] |= open_ & joined[at:end, None]
+            ok = need.ravel()[cell]
+            which, cell = which[ok], cell[ok]
+            post = ragged(self.walk_from[which], self.walk_size[which])
+            cells, place = np.flatnonzero(need), np.cumsum(need.ravel()) - 1
+            fine = place[np.repeat(cell, self.walk_size[which])] * BLOCK + self.part[post] % BLOCK
+            parts = np.bincount(fine, weights=self.weight[post], minlength=len(cells) * BLOCK).reshape(-1, BLOCK)
+            w, b = np.nonzero(open_)
+            both = parts[place[w * self.blocks + b]] + self.light_part[b]
+            second = joined[w + at]
+            both[second] += parts[place[(w[second] + 1) * self.blocks + b[second]]]
+            left = (both >= threshold - 1e-9).any(axis=1)
+            w, b = w[left], b[left]
+            windows.append(w + at)
+            blocks.append(b)
+        return np.concatenate([np.zeros(0, np.int64), *windows]), np.concatenate([np.zeros(0, np.int64), *blocks])
+
+    def scored(self, pair: np.ndarray, term: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, part, score) >= threshold; (pair, term) rows are distinct, ``block`` is that of the row's pair."""
+        want = term * max(1, self.blocks) + block
+        at = np.minimum(np.searchsorted(self.list_key, want), len(self.list_key) - 1)
+        ok = self.list_key[at] == want
+        pair, at = pair[ok], at[ok]
+        n = self.list_end[at] - self.list_start[at]
+        post = ragged(self.list_start[at], n)
+        keys, of = np.unique(np.repeat(pair, n) * max(1, len(self.part_item)) + self.part[post], return_inverse=True)
+        score = np.bincount(of, weights=self.weight[post], minlength=len(keys))
+        hit = score >= threshold - 1e-9
+        return keys[hit] // max(1, len(self.part_item)), keys[hit] % max(1, len(self.part_item)), score[hit]
 
 
 def run_hashes(words: list[str], size: int = SIZE) -> np.ndarray:
@@ -150,36 +191,42 @@ def search_texts(col: pa.Array, index: Index, threshold: float, overlap: float)
     col = col.fill_null("")
     for a, b in slices(text_buffers(col)[1]):
         w = Words(col.slice(a, b - a))
-        names = [x.strip(PUNCTUATION).encode() for x in w.names.to_pylist()]
-        known = np.fromiter((index.terms.get(x, -1) for x in names), dtype=np.int64, count=len(names))
-        empty = np.fromiter((not x for x in names), dtype=bool, count=len(names))
-        real = ~empty[w.code] if len(w.code) else np.zeros(0, bool)
+        if not len(w.code) or not len(index.terms):
+            continue
+        names = pc.utf8_trim(w.names.cast(pa.string()), characters=PUNCTUATION)
+        known = pc.fill_null(pc.index_in(names, index.names), -1).to_numpy().astype(np.int64)
+        real = pc.greater(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)[w.code]
         row = np.repeat(np.arange(b - a), w.count)[real]
         code = w.code[real]
         first = np.searchsorted(row, np.arange(b - a + 1))
         # window k of a text has its words from k * PART on, 2 * PART of them
-        stretch = (np.arange(len(code)) - first[row]) // PART
         windows = -(-np.diff(first) // PART)
         base = np.cumsum(windows) - windows
-        number = base[row] + stretch
+        stretch = base[row] + (np.arange(len(code)) - first[row]) // PART
+        owner = np.repeat(np.arange(b - a), windows)
+        joined = np.append(owner[1:] == owner[:-1], False)
         term = known[code]
-        has = term >= 0
-        one = np.unique((number[has] << 32) | term[has])
-        back = (one >> 32) - 1
-        same = back >= base[np.searchsorted(base, one >> 32, side="right") - 1]
-        terms = np.unique(np.concatenate([one, (back[same] << 32) | (one[same] & 0xFFFFFFFF)]))
+        has = np.flatnonzero(term >= 0)
+        window, block = index.bounded(term[has], stretch[has], len(owner), joined, threshold)
+        begin = first[owner[window]] + (window - base[owner[window]]) * PART
+        n = np.minimum(begin + 2 * PART, first[owner[window] + 1]) - begin
+        pair = np.repeat(np.arange(len(window)), n)
+        terms = term[ragged(begin, n)]
+        rows = distinct(pair[terms >= 0] * len(index.terms) + terms[terms >= 0])
+        pair, terms = rows // len(index.terms), rows % len(index.terms)
         best: dict[tuple[int, int], float] = {}
-        owner = np.repeat(np.arange(b - a), windows)
-        for window, part, score in index.search(terms, threshold):
-            key = (int(owner[window]), index.part_item[part])
+        for k, part, score in zip(*(x.tolist() for x in index.scored(pair, terms, block[pair], threshold))):
+            key = (int(owner[window[k]]), index.part_item[part])
             best[key] = max(best.get(key, 0.0), score)
+        if best:
+            plain = names.to_pylist()
         sets: dict[tuple[int, int], np.ndarray] = {}
         for (r, item), score in sorted(best.items()):
-            own = hash_array(np.array([names[c] for c in code[first[r] : first[r + 1]].tolist()], dtype=object), categorize=False)
+            own = hash_array(np.array([plain[c].encode() for c in code[first[r] : first[r + 1]].tolist()], dtype=object), categorize=False)
             share = []
             for size, want in index.checks[item]:
                 if size and (r, size) not in sets:
-                    sets[r, size] = np.unique(rolled(own, size))
+                    sets[r, size] = distinct(rolled(own, size))
                 share.append(float(np.isin(want, sets[r, size]).mean()) if size else 1.0)
             if min(share) >= overlap:
                 yield a + r, item, score, share[0], share[1]

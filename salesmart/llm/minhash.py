@@ -250,7 +250,8 @@ def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) ->
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of the text)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
+    text_hash (xxhash64 of the text) and root (the same number for all of a component, null without a set)."""
     rows = stored(_sign(docs, size), "signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "set-classes")
@@ -268,10 +269,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size
         roots = components(links.unionByName(more))
     whole = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(whole.join(best, "root").select("node", "component_id"), "components")
+    named = stored(whole.join(best, "root").select("node", "root", "component_id"), "components")
     return rows.join(named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-        "text_hash",
+        "text_hash", "root",
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesmart.llm import bm25, lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
+from salesmart.llm import bm25, gam, lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
 from salesmart.llm.common import table
 
 #: (verdict, host, path) of the rules that op7 judges by.
@@ -23,6 +23,11 @@ def op1_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.score_documents(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def op9_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_repair, op2_gam, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup)}
 
 
 OP6 = """

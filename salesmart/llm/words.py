@@ -44,6 +44,14 @@ class Words:
         return hash_array(np.array(self.names.to_pylist(), dtype=object), categorize=False) if len(self.names) else np.zeros(0, np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, so every bit of the result depends on every bit of ``x``."""
     x = x ^ (x >> np.uint64(30))
