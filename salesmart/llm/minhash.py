@@ -10,8 +10,10 @@ below ``miss``. What is left is verified on the full sets of the texts.
 A bucket of near copies could hold very many true pairs, so verification goes in two steps, and
 loses no link that could join two components: first every bucket names a maximum spanning forest
 of its surviving pairs (fewer pairs than members), which is verified and joined to components;
-then the buckets name all surviving pairs of different components. Buckets of more than
-``CELL`` members are dealt out as cells of two parts each, so no task holds a bucket whole.
+then members that have a surviving pair with another component meet in their bucket again, with
+their texts, and are verified there pair by pair, until their components are one. So no pair
+leaves its task unless it is a link that joins two components. Buckets of more than ``CELL``
+members are dealt out as cells of two parts each, so no task holds a bucket whole.
 
 With threshold 0.85, a pair of that similarity is missed by all bands with probability
 (1 - 0.85**5)**24 < 1e-6, and pruned with probability ``miss`` at most.
@@ -38,7 +40,7 @@ from salesmart.llm.graph import components
 from salesmart.llm.tokens import slices, text_buffers
 from salesmart.llm.words import shingle_sets
 
-BANDS, ROWS, BATCH, CELL = 24, 5, 20, 4096
+BANDS, ROWS, BATCH, CELL = 24, 5, 20, 2048
 HASHES = BANDS * ROWS
 #: Shingles that are hashed at once.
 CHUNK = 1 << 15
@@ -86,8 +88,10 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survivors(sig: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, bounds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, equal bytes) of the pairs that no bound prunes and that meet in ``band`` first."""
+def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, percent: int, bounds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal bytes) of the pairs that no bound prunes, whose sizes allow a link, and that meet in ``band`` first."""
+    ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[ok], j[ok]
     equal = np.zeros(len(i), dtype=np.int64)
     for b, least in enumerate(bounds):
         cols = slice(b * BATCH, (b + 1) * BATCH)
@@ -140,7 +144,7 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, low, high, part, node, sig): members of buckets of two or more, dealt out to cells."""
+    """(key, low, high, part, node, size, sig): members of buckets of two or more, dealt out to cells."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,71 +163,139 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     member = member.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("key", "node", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    return member.join(nodes.select("node", "sig"), "node").select("key", "low", "high", "part", "node", "sig")
+    return member.join(nodes.select("node", "size", "sig"), "node").select("key", "low", "high", "part", "node", "size", "sig")
 
 
-def _pairs(buckets: DataFrame, threshold: float, miss: float, whole: bool) -> DataFrame:
-    """(a, b) nodes. ``whole``: all surviving pairs whose ``root`` differs, else a forest of each cell."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.Table]]:
-        """Runs of equal (key, low, high) of sorted rows."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole cells from sorted rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        new = np.flatnonzero(_edges(pa.Table.from_batches([held[-2].slice(held[-2].num_rows - 1), batch] if len(held) > 1 else [batch])))
+        if len(new):
             t = pa.Table.from_batches(held)
-            key, low, high = (t.column(c).to_numpy() for c in ("key", "low", "high"))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            if len(new):
-                yield t.slice(0, int(new[-1]))
-                held = t.slice(int(new[-1])).combine_chunks().to_batches()
-        if held:
-            yield pa.Table.from_batches(held)
+            cut = len(t) - batch.num_rows + int(new[-1]) + (0 if len(held) > 1 else 1)
+            yield t.slice(0, cut)
+            held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(t: pa.Table) -> np.ndarray:
+    """For each row but the first, whether it begins a cell."""
+    key, low, high = (t.column(c).to_numpy() for c in ("key", "low", "high"))
+    return (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+
+
+def _candidates(t: pa.Table, percent: int, bounds: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, equal bytes): rows of surviving pairs, cell by cell. ``whole``: all whose root differs, else a forest."""
+    key, low, high, part, size = (t.column(c).to_numpy() for c in ("key", "low", "high", "part", "size"))
+    root = t.column("root").to_numpy() if whole else None
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+    at = np.flatnonzero(np.concatenate([[True], _edges(t)]))
+    end = np.append(at[1:], len(key))
+    band = key >> (8 * ROWS)
+    # buckets of two, all of a band at once
+    two = at[end - at == 2]
+    two = two[low[two] == high[two]]
+    for k in np.unique(band[two]):
+        i = two[band[two] == k]
+        if whole:
+            i = i[root[i] != root[i + 1]]
+        yield survivors(sig, size, i, i + 1, int(k), percent, bounds)
+    for x, y in zip(at.tolist(), end.tolist()):
+        if y - x < 2 or y - x == 2 and low[x] == high[x]:
+            continue
+        own, found = np.arange(x, y), []
+        step = max(1, (1 << 17) // (y - x))
+        for s in range(x, y, step):
+            i, j = (g.ravel() for g in np.meshgrid(np.arange(s, min(s + step, y)), own, indexing="ij"))
+            ok = i < j if low[x] == high[x] else (part[i] == low[x]) & (part[j] == high[x])
+            if whole:
+                ok &= root[i] != root[j]
+            found.append(survivors(sig, size, i[ok], j[ok], int(band[x]), percent, bounds))
+        i, j, equal = (np.concatenate(f) for f in zip(*found))
+        if not whole:
+            take = forest(y - x, i - x, j - x, equal)
+            i, j, equal = i[take], j[take], equal[take]
+        yield i, j, equal
+
+
+def _dealt(buckets: DataFrame) -> DataFrame:
+    return buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+
+
+def _first_pairs(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b): a maximum spanning forest of each cell."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = least_matches(threshold, miss)
-        for t in cells(batches):
-            if not len(t):
-                continue
-            key, low, high, part, node = (t.column(c).to_numpy() for c in ("key", "low", "high", "part", "node"))
-            root = t.column("root").to_numpy() if whole else None
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-            end = np.append(at[1:], len(key))
-            band = (key >> (8 * ROWS)).astype(np.int64)
-            a, b = [], []
-            # buckets of two, all of a band at once
-            two = at[end - at == 2]
-            two = two[low[two] == high[two]]
-            for k in np.unique(band[two]):
-                i = two[band[two] == k]
-                i, j, _ = survivors(sig, i, i + 1, int(k), bounds)
-                a.append(i)
-                b.append(j)
-            for x, y in zip(at.tolist(), end.tolist()):
-                if y - x < 2 or y - x == 2 and low[x] == high[x]:
-                    continue
-                own, found = np.arange(x, y), []
-                step = max(1, (1 << 17) // (y - x))
-                for s in range(x, y, step):
-                    i, j = (g.ravel() for g in np.meshgrid(np.arange(s, min(s + step, y)), own, indexing="ij"))
-                    ok = i < j if low[x] == high[x] else (part[i] == low[x]) & (part[j] == high[x])
-                    if whole:
-                        ok &= root[i] != root[j]
-                    found.append(survivors(sig, i[ok], j[ok], int(band[x]), bounds))
-                i, j, equal = (np.concatenate(f) for f in zip(*found))
-                if not whole:
-                    take = forest(y - x, i - x, j - x, equal)
-                    i, j = i[take], j[take]
-                a.append(i)
-                b.append(j)
-            i, j = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-            if whole:
-                i, j = i[root[i] != root[j]], j[root[i] != root[j]]
-            if len(i):
+        bounds = least_matches(percent / 100, miss)
+        for t in _cells(batches):
+            node = t.column("node").to_numpy()
+            for i, j, _ in _candidates(t, percent, bounds, False):
                 yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
-    dealt = buckets.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    return map_arrow(dealt, paired, "a long, b long")
+    return map_arrow(_dealt(buckets), paired, "a long, b long")
+
+
+def _open_members(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The rows of ``buckets`` (with root) that have a surviving pair with another component."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = least_matches(percent / 100, miss)
+        for t in _cells(batches):
+            use = np.zeros(len(t), dtype=bool)
+            for i, j, _ in _candidates(t, percent, bounds, True):
+                use[i] = use[j] = True
+            yield from t.filter(pa.array(use)).to_batches()
+
+    rows = _dealt(buckets)
+    return map_arrow(rows, marked, ", ".join(f"{c} {k}" for c, k in rows.dtypes))
+
+
+def _joining_links(members: DataFrame, percent: int, miss: float, size: int) -> DataFrame:
+    """(a, b): links between components, verified on the full sets of ``members``' texts. A pair is
+    skipped if links found in this task have joined its components already."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = least_matches(percent / 100, miss)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for t in _cells(batches):
+            node, root, text = t.column("node").to_numpy(), t.column("root").to_numpy().tolist(), t.column("text")
+            held: dict[int, np.ndarray] = {}
+            links = []
+
+            def members_set(row: int) -> np.ndarray:
+                if row not in held:
+                    held[row] = shingle_sets(pa.array([text[row].as_py()], pa.string()), size)[0]
+                return held[row]
+
+            for i, j, equal in _candidates(t, percent, bounds, True):
+                for k in np.argsort(-equal, kind="stable").tolist():
+                    x, y = int(i[k]), int(j[k])
+                    rx, ry = top(root[x]), top(root[y])
+                    if rx != ry and similar(members_set(x), members_set(y), percent):
+                        up[rx] = ry
+                        links.append((min(node[x], node[y]), max(node[x], node[y])))
+            a, b = zip(*links) if links else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return map_arrow(_dealt(members), linked, "a long, b long")
+
+
+def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets that are not empty."""
+    if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+        return False
+    common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return 100 * common >= percent * (len(u) + len(v) - common)
 
 
 def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) -> DataFrame:
@@ -237,10 +309,7 @@ def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) ->
             for x, y in slices(size_of):
                 (s, so), (t, to) = shingle_sets(one.slice(x, y - x), size), shingle_sets(two.slice(x, y - x), size)
                 for k in range(y - x):
-                    u, v = s[so[k] : so[k + 1]], t[to[k] : to[k + 1]]
-                    both = np.sort(np.concatenate([u, v]), kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    ok[x + k] = 100 * common >= percent * (len(both) - common)
+                    ok[x + k] = similar(s[so[k] : so[k + 1]], t[to[k] : to[k + 1]], percent)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     one = content.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -253,18 +322,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
     text_hash (xxhash64 of the text) and root (the same number for all of a component, null without a set)."""
     rows = stored(_sign(docs, size), "signatures")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("sig").alias("sig"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "set-classes")
     buckets = stored(_buckets(nodes), "buckets")
-    pairs = stored(_pairs(buckets, percent / 100, miss, False), "first-pairs").distinct()
+    pairs = stored(_first_pairs(buckets, percent, miss), "first-pairs").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
     found = texts(docs).select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash")
     content = stored(found.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
     links = stored(_verified(pairs, content, percent, size), "first-links")
     roots = components(links)
     named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stored(_pairs(named, percent / 100, miss, True), "more-pairs").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(more, content, percent, size), "more-links")
+    members = stored(_open_members(named, percent, miss), "open-members")
+    more = stored(_joining_links(members.join(content, "node"), percent, miss, size), "more-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     whole = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -43,6 +43,8 @@ from salesmart.llm.words import LOWER, Words
 ORDER = 5
 PAD, END = 0xFE, 0xFF
 BLOCK_BYTES = 40 << 20
+#: Grams take some 50 bytes for each byte of text while they are looked up.
+GRAM_BYTES = 1 << 20
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +273,7 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
         g = right.filter(pc.invert(is_word))
         gram, value = g.column("gram").to_numpy(), g.column("value").to_numpy()
         order = np.argsort(gram)
-        gram, value = pa.array(gram[order]), value[order]
+        gram, value = gram[order], value[order]
         text = left.column("text").combine_chunks()
         text = text.cast(pa.large_string()) if isinstance(text, pa.Array) else pa.concat_arrays([c.cast(pa.large_string()) for c in text.chunks] or [pa.array([], pa.large_string())])
         tokens, known, base, score = [], [], [], []
@@ -284,11 +286,12 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
             tokens.append(w.count + 1)
             known.append(np.bincount(row, weights=c > 0, minlength=b - a).astype(np.int64) + (ends > 0))
             base.append(np.bincount(row, weights=np.log10(c + 1), minlength=b - a) + np.log10(ends + 1) - (w.count + 1) * scale)
-            data, offsets = text_buffers(part)
-            keys, at = gram_keys(LOWER[data], offsets)
-            coded = pa.array(keys.astype(np.int64)).dictionary_encode()
-            bits = value[pc.index_in(coded.dictionary, gram).to_numpy()][coded.indices.to_numpy()]
-            score.append(np.add.reduceat(bits, at[:-1]))
+            for x, y in slices(text_buffers(part)[1], GRAM_BYTES):
+                data, offsets = text_buffers(part.slice(x, y - x))
+                keys, at = gram_keys(LOWER[data], offsets)
+                coded = pa.array(keys.astype(np.int64)).dictionary_encode()
+                bits = value[np.searchsorted(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
+                score.append(np.add.reduceat(bits, at[:-1]))
         cols = [left.column("doc_id"), left.column("train"), *(pa.array(np.concatenate(x)) for x in (tokens, known, base, score))]
         return pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")])
 
