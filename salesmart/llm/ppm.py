@@ -32,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +44,7 @@ PAD, END = 0xFE, 0xFF
 BLOCK_BYTES = 40 << 20
 #: Grams take some 50 bytes for each byte of text while they are looked up.
 GRAM_BYTES = 1 << 20
+WORD_BITS = (1 << 62) - 1
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,8 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
                         size = len(held[0])
         if held:
             yield from done()
+        held = []
+        pa.default_memory_pool().release_unused()
 
     return map_arrow(blocks.select("text", "train", "block"), counted, schema)
 
@@ -261,27 +263,25 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     coded = _coded(grams.groupBy("key").agg(F.sum("n").alias("n")), low_orders(table))
     back = grams.select("key", "block").join(coded, "key")
 
-    found = words.select("block", F.col("key").alias("word"), F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("value")).unionByName(
-        back.select("block", F.lit(None).cast("string").alias("word"), F.col("key").alias("gram"), "value")
-    )
+    # words go back under 62 bits of their hash, below 0; within a block that tells its words apart
+    word = -F.xxhash64("key").bitwiseAND(F.lit(WORD_BITS)) - F.lit(1)
+    found = words.select("block", word.alias("key"), F.col("total").cast("double").alias("value")).unionByName(back.select("block", "key", "value"))
     scale = np.log10(n_all + 1 * (distinct + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("word").is_valid()
-        w = right.filter(is_word)
-        names, totals = w.column("word").combine_chunks(), w.column("value").to_numpy()
-        g = right.filter(pc.invert(is_word))
-        gram, value = g.column("gram").to_numpy(), g.column("value").to_numpy()
-        order = np.argsort(gram)
-        gram, value = gram[order], value[order]
+        from xxhash import xxh64_intdigest
+
+        key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
         text = left.column("text").combine_chunks()
         text = text.cast(pa.large_string()) if isinstance(text, pa.Array) else pa.concat_arrays([c.cast(pa.large_string()) for c in text.chunks] or [pa.array([], pa.large_string())])
         tokens, known, base, score = [], [], [], []
         for a, b in slices(text_buffers(text)[1]):
             part = text.slice(a, b - a)
             w = Words(part)
-            c = totals[pc.index_in(w.names.cast(names.type), names).to_numpy()] if len(w.names) else np.zeros(0)
-            c = np.append(c, 0.0)[w.code] if len(w.code) else np.zeros(0)
+            name = np.fromiter((-(xxh64_intdigest(x, 42) & WORD_BITS) - 1 for x in w.names.to_pylist()), dtype=np.int64, count=len(w.names))
+            c = value[np.searchsorted(key, name)][w.code] if len(w.code) else np.zeros(0)
             row = np.repeat(np.arange(b - a), w.count)
             tokens.append(w.count + 1)
             known.append(np.bincount(row, weights=c > 0, minlength=b - a).astype(np.int64) + (ends > 0))
@@ -290,8 +290,9 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
                 data, offsets = text_buffers(part.slice(x, y - x))
                 keys, at = gram_keys(LOWER[data], offsets)
                 coded = pa.array(keys.astype(np.int64)).dictionary_encode()
-                bits = value[np.searchsorted(gram, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
+                bits = value[np.searchsorted(key, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
                 score.append(np.add.reduceat(bits, at[:-1]))
+        pa.default_memory_pool().release_unused()
         cols = [left.column("doc_id"), left.column("train"), *(pa.array(np.concatenate(x)) for x in (tokens, known, base, score))]
         return pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")])
 
