@@ -31,8 +31,7 @@ def trend(numbered: DataFrame, y: str, group_cols: Sequence[str] = (), x: str =
 
 def _join_fit(df: DataFrame, fit: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     if group_cols:
-        # one fit row per series: broadcast-sized by construction
-        return df.join(F.broadcast(fit), list(group_cols), "inner")
+        return df.join(fit, list(group_cols), "inner")
     return df.withColumns({c: fit.select(c).scalar() for c in fit.columns})  # one-row fit as scalars
 
 

@@ -101,6 +101,11 @@ def dim_clientes_by_key(customers: DataFrame, orders: DataFrame) -> DataFrame:
     return _rename(d, CUSTOMER_COLUMNS)
 
 
+def customers_as_dim(customers: DataFrame) -> DataFrame:
+    """All customers under the dimension's names, for inner joins that keep only those with orders."""
+    return _rename(customers.where(F.col("customer_unique_id").isNotNull()), CUSTOMER_COLUMNS)
+
+
 def _dim_from_keys(base: DataFrame, key: str, attrs: DataFrame, mapping: dict[str, str]) -> DataFrame:
     keys = base.select(key).where(F.col(key).isNotNull()).distinct()
     return _rename(keys.join(attrs, key, "left"), mapping)

@@ -31,6 +31,33 @@ def order_facts(sales: DataFrame, th: Thresholds) -> DataFrame:
         F.count("tempo_entrega_dias").alias("n_tempo_itens"),
         F.avg("tempo_entrega_dias").alias("tempo_medio_entrega_dias"),
     )
+    return _order_values(o, th)
+
+
+def order_facts_direct(orders: DataFrame, th: Thresholds) -> DataFrame:
+    """The same rows from an order-level base (``sources.tpch.driver_orders``), without item rows.
+
+    An order's measures count once per item row, as in the item-level base; an itemless order is one row.
+    """
+    rows = F.coalesce(F.col("_n_linhas"), F.lit(1))
+    t = F.col("tempo_entrega_dias")
+    o = orders.select(
+        F.col("order_id").alias("id_pedido"),
+        F.col("customer_unique_id").alias("id_cliente"),
+        F.to_date("order_purchase_timestamp").alias("data"),
+        F.col("order_status").alias("status_pedido"),
+        "receita_itens", "frete_itens",
+        F.coalesce("n_valores", F.lit(0).cast("bigint")).alias("n_valores"),
+        F.coalesce("n_itens", F.lit(0).cast("bigint")).alias("n_itens"),
+        "entregue_com_atraso", "pedido_entregue",
+        (t * rows).alias("soma_tempo_itens"),
+        F.when(t.isNotNull(), rows).otherwise(F.lit(0).cast("bigint")).alias("n_tempo_itens"),
+        t.cast("double").alias("tempo_medio_entrega_dias"),
+    )
+    return _order_values(o, th)
+
+
+def _order_values(o: DataFrame, th: Thresholds) -> DataFrame:
     zero = F.lit(0).cast("decimal(38,4)")
     o = o.withColumns({
         # T4: an itemless order is worth 0, so it stays in ticket denominators

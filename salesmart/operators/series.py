@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from salesmart.functions.columns import year_month
+
 from salesmart.params import Period
 from salesmart.operators.reports import ratio
 
@@ -122,4 +124,4 @@ def change_first_last(m: DataFrame, value: str, order: str = "ano_mes") -> DataF
 
 def monthly_mean(df: DataFrame, ts: str, value: str, name: str) -> DataFrame:
     """Monthly mean of an external series."""
-    return df.groupBy(F.date_format(ts, "yyyy-MM").alias("ano_mes")).agg(F.avg(value).alias(name))
+    return df.groupBy(year_month(ts).alias("ano_mes")).agg(F.avg(value).alias(name))

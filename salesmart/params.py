@@ -7,7 +7,6 @@ they are arguments so the same jobs run on any data.
 from __future__ import annotations
 
 import datetime as dt
-import re
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -60,23 +59,17 @@ class Params:
 STUDY = Params(period=Period.of("2017-01-01", "2018-08-31"))
 
 
-def sf_of(sf_dir: str) -> float | None:
-    m = re.search(r"sf(\d+(?:\.\d+)?)", sf_dir)
-    return float(m.group(1)) if m else None
-
-
-def driver_params(sf_dir: str) -> Params:
+def driver_params() -> Params:
     """Parameters for the driver's TPC-H-shaped tables.
 
     Status 'F' plays "delivered"; money is in the thousands, so the critical
-    threshold is 100000 with a 5 % freight share; the HAVING minimum grows with
-    the scale factor (450 orders at sf0.01).
+    threshold is 100000 with a 5 % freight share; the HAVING minimum is one
+    constant, whatever the data's size or folder.
     """
-    sf = sf_of(sf_dir) or 0.01
     return Params(
         period=Period.of("1996-01-01", "2000-12-31"),
         thresholds=Thresholds(Decimal("100000"), Decimal("0.05")),
-        min_orders=max(1, int(round(450 * sf / 0.01))),
+        min_orders=450,
         delivered_status="F",
         top_k=10,
         focus_state="BRAZIL",

@@ -27,9 +27,9 @@ from salesmart.operators import reports as R
 from salesmart.operators import series as S
 from salesmart.operators import mart as mart_ops
 from salesmart.operators.mart import Mart, sales_base
-from salesmart.operators.orders import order_facts, with_customer
+from salesmart.operators.orders import order_facts_direct, with_customer
 from salesmart.params import driver_params
-from salesmart.sources.tpch import driver_base, raw_tables, table
+from salesmart.sources.tpch import driver_base, driver_orders, raw_tables, table
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ class Job:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.p = driver_params(sf_dir)
+        self.p = driver_params()
 
     @cached_property
     def raw(self):
@@ -65,6 +65,20 @@ class Job:
     def base(self) -> DataFrame:
         return driver_base(self.raw, self.p)
 
+    @cached_property
+    def order_base(self) -> DataFrame:
+        return driver_orders(self.raw, self.p)
+
+    @cached_property
+    def sold_items(self) -> DataFrame:
+        """Product and seller of the items whose order exists."""
+        return self.raw.items.select("order_id", "product_id", "seller_id").join(self.raw.orders.select("order_id"), "order_id", "left_semi")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        # both sides of the joins with it are plain exchanges, so AQE can split a hot customer
+        return mart_ops.customers_as_dim(self.raw.customers)
+
     @cached_property
     def fato(self) -> DataFrame:
         return mart_ops.fato_vendas(self.base)
@@ -76,15 +90,15 @@ class Job:
 
     @cached_property
     def dim_produtos(self) -> DataFrame:
-        return mart_ops.dim_produtos(self.base, self.raw.products)
+        return mart_ops.dim_produtos(self.sold_items, self.raw.products)
 
     @cached_property
     def dim_vendedores(self) -> DataFrame:
-        return mart_ops.dim_vendedores(self.base, self.raw.sellers)
+        return mart_ops.dim_vendedores(self.sold_items, self.raw.sellers)
 
     @cached_property
     def dim_tempo(self) -> DataFrame:
-        return mart_ops.dim_tempo(self.base)
+        return mart_ops.dim_tempo(self.raw.orders)
 
     @property
     def mart(self) -> Mart:
@@ -96,11 +110,13 @@ class Job:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return order_facts(self.sales, self.p.thresholds)
+        per = self.p.period
+        o = self.order_base.where(F.to_date("order_purchase_timestamp").between(F.lit(per.start), F.lit(per.end)))
+        return order_facts_direct(o, self.p.thresholds)
 
     @cached_property
     def orders_c(self) -> DataFrame:
-        return with_customer(self.orders, self.dim_clientes)
+        return with_customer(self.orders, self.customers)
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -138,8 +154,8 @@ class Job:
 
     def customer_activity(self, start: str, end: str) -> DataFrame:
         """Snapshot of customers active in [start, end]: orders, first and last order date."""
-        f = self.fato.where(F.col("data").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-        o = f.groupBy("id_pedido").agg(F.min("id_cliente").alias("id_cliente"), F.min("data").alias("data"))
+        o = self.raw.orders.select(F.col("customer_id").alias("id_cliente"), F.to_date("order_purchase_timestamp").alias("data"))
+        o = o.where(F.col("data").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
         return (o.where(F.col("id_cliente").isNotNull()).groupBy("id_cliente")
                 .agg(F.count("*").alias("n_pedidos"),
                      F.date_format(F.min("data"), "yyyy-MM-dd").alias("primeiro_pedido"),
@@ -179,17 +195,13 @@ def _order_facts(j: Job):
 
 
 def _delivery_days(j: Job):
-    b = j.base
-    return b.groupBy(F.col("order_id").alias("id_pedido")).agg(
-        F.min("tempo_entrega_dias").alias("tempo_entrega_dias"),
-        F.min("prazo_estimado_dias").alias("prazo_estimado_dias"),
-        F.min("atraso_entrega_dias").alias("atraso_entrega_dias"))
+    return j.order_base.select(F.col("order_id").alias("id_pedido"), "tempo_entrega_dias", "prazo_estimado_dias",
+                               "atraso_entrega_dias")
 
 
 def _late_flag(j: Job):
-    b = j.base
-    return b.groupBy(F.col("order_id").alias("id_pedido"), F.col("order_status").alias("status_pedido")).agg(
-        F.max("entregue_com_atraso").alias("entregue_com_atraso"), F.max("pedido_entregue").alias("pedido_entregue"))
+    return j.order_base.select(F.col("order_id").alias("id_pedido"), F.col("order_status").alias("status_pedido"),
+                               "entregue_com_atraso", "pedido_entregue")
 
 
 def _item_value(j: Job):
@@ -225,7 +237,7 @@ def _sales_base(j: Job):
 
 def _api_base(j: Job):
     """Fact with customer state, NULL states dropped, money NULL -> 0."""
-    c = j.dim_clientes.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
+    c = j.customers.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
     return j.sales.join(c, "id_cliente", "inner").select(
         "id_pedido", "id_item_pedido", "data", "estado_cliente",
         F.coalesce("valor_total_item", F.lit(0).cast("decimal(38,4)")).alias("valor_total_item"),

@@ -10,6 +10,7 @@ and a lost executor costs a re-read, not a recomputation from the raw tables.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,8 @@ TABLES = ("fato_vendas", "dim_clientes", "dim_produtos", "dim_vendedores", "dim_
 
 
 def store_mart(mart: Mart, root: str) -> None:
-    fact = mart.fato.withColumn("ano_mes", year_month("data"))
+    # rows of a month come together, so a month gets few files; AQE splits a large one
+    fact = mart.fato.withColumn("ano_mes", year_month("data")).hint("rebalance", "ano_mes")
     write_parquet(fact, os.path.join(root, "fato_vendas"), ["ano_mes"])
     for name, df in zip(TABLES[1:], mart[1:]):
         write_parquet(df, os.path.join(root, name))
@@ -34,8 +36,8 @@ def load_mart(spark: SparkSession, root: str) -> Mart:
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and return the stored copy."""
-    path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -46,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession, local_fallback: str | None = None
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        master = spark.sparkContext.master
+        if not local_fallback and (master.startswith("local-") or not master.startswith("local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cur = local_fallback or tempfile.mkdtemp(prefix="salesmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)

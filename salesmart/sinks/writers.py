@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +32,20 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def _plain_number(c: Column) -> Column:
+    """A number's text without an exponent; doubles keep their shortest digits and one decimal at least."""
+    s = c.cast("string")
+    plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), "(\\.[0-9]*?[1-9])0+$|(\\.0)0*$", "$1$2")
+    return F.when(s.contains("E"), F.coalesce(plain, s)).otherwise(s)
+
+
 def to_br_text(df: DataFrame) -> DataFrame:
     """Numbers as text with decimal comma (no grouping), other columns unchanged (K3)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            c = F.translate(c.cast("string"), ".", ",")
+            c = F.translate(_plain_number(c), ".", ",")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -62,17 +62,26 @@ def read_csv_br(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return read_csv(spark, path, schema, sep=";", locale="pt-BR")
 
 
+def exists(path: str) -> bool:
+    """Whether a path exists on the file system its scheme names."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return os.path.exists(path.removeprefix("file://"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def first_existing(paths: Sequence[str]) -> str:
     """First path that exists (S7), else FileNotFoundError listing all tried."""
     for p in paths:
-        if os.path.exists(p):
+        if exists(p):
             return p
     raise FileNotFoundError(f"none of these inputs exists: {list(paths)}")
 
 
 def require_inputs(paths: dict[str, str]) -> None:
     """Fail before any work when an input is missing."""
-    missing = [f"{k}: {p}" for k, p in paths.items() if not os.path.exists(p)]
+    missing = [f"{k}: {p}" for k, p in paths.items() if not exists(p)]
     if missing:
         raise FileNotFoundError("missing inputs: " + "; ".join(missing))
 

@@ -21,10 +21,10 @@ import os
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.functions.columns import item_total, year_month
 from salesmart.operators.cleaning import derive_delivery, derive_values, split_hot_keys
 from salesmart.params import Params
 
@@ -127,10 +127,32 @@ class RawTables:
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    """Driver tables in the raw shape (each table read at most once)."""
+    """Driver tables in the raw shape."""
     return RawTables(spark, sf_dir)
 
 
+def per_order_items(raw: RawTables) -> DataFrame:
+    """One row per order with items: delivered date (latest ship date) and the sums and counts
+    of its items. A map-side-combined aggregate, so a hot order costs one row per task."""
+    value = item_total("price", "freight_value")
+    return raw.items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
+        F.max("shipping_limit_date").alias("order_delivered_customer_date"),
+        F.count("*").alias("_n_linhas"),
+        F.sum(value).alias("receita_itens"),
+        F.sum("freight_value").alias("frete_itens"),
+        F.count(value).alias("n_valores"),
+        F.count("order_item_id").alias("n_itens"))
+
+
+def driver_orders(raw: RawTables, params: Params) -> DataFrame:
+    """Order-level base (orders ⟕ items aggregated per order): all that order-grain reports need,
+    from one scan of the items and without an item row in a join. Filters on order columns (the
+    report period) reach the orders scan."""
+    o = raw.orders.join(per_order_items(raw), "order_id", "left")
+    o = o.withColumn("customer_unique_id", F.col("customer_id"))
+    return derive_delivery(o, params.delivered_status).withColumn("ano_mes", year_month("order_purchase_timestamp"))
+
+
 def driver_base(raw: RawTables, params: Params) -> DataFrame:
     """Item-level base from the driver tables: orders ⟕ items.
 
@@ -138,22 +160,17 @@ def driver_base(raw: RawTables, params: Params) -> DataFrame:
     fact needs no customer join; customer attributes live in the customer
     dimension, joined at order grain where a report needs them.
 
-    The delivered date (latest ship date of the order) and the item count are
-    one aggregate, so they combine map-side and a hot order costs one row per
-    task; they join the orders 1:1. Orders with items then join the items as
-    an inner join, with orders above ``params.hot_rows`` items salted over
-    several tasks (``split_hot_keys``), and itemless orders are added back
-    from the count: no outer join whose skewed side could not be split. Filters on order columns (the
-    report period) reach the orders scan.
+    The delivered date and the item count come from the per-order aggregate,
+    joined 1:1. Orders with items then join the items as an inner join, with
+    orders above ``params.hot_rows`` items salted over several tasks
+    (``split_hot_keys``), and itemless orders are added back from the count: no
+    outer join whose skewed side could not be split. Nothing is cached: the
+    uses of the per-order rows in one plan share an exchange.
     """
-    # kept (memory, spilling to disk) because the hot-key check and the join both read it;
-    # the cached copy keeps its partitioning by order key
     per_order = raw.items.groupBy("order_id").agg(
         F.max("shipping_limit_date").alias("order_delivered_customer_date"),
-        F.count("*").alias("_n_itens")).persist(StorageLevel.MEMORY_AND_DISK)
+        F.count("*").alias("_n_itens"))
     orders = raw.orders.join(per_order, "order_id", "left")
-    # both branches read the same (order, max, count) rows, so Spark shuffles them once;
-    # an order with more than `hot_rows` items is salted over several tasks
     counts = per_order.select("order_id", F.col("_n_itens").alias("n"))
     matched = split_hot_keys(orders.where(F.col("_n_itens") > 0), raw.items, "order_id", counts, params.hot_rows)
     itemless = orders.where(F.col("_n_itens").isNull()).select(
