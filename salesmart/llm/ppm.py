@@ -11,7 +11,7 @@ UTF-8 does not use, so the code length covers the end of the text too.
 The code length of a byte depends on the last ORDER + 1 bytes alone, so Spark computes it once
 for every such gram and brings it back to the texts:
 
-1. Texts are dealt out to blocks of about ``BLOCK_BYTES`` and written to the shared folder.
+1. Texts are dealt out to blocks of about ``BLOCK_BYTES`` and written, compressed, to the shared folder.
 2. Each block gives its distinct words and grams with their counts in training texts.
 3. Words: one shuffle by word sums the counts of all blocks. Grams: counts are summed with partial
    sums; the rows of two context bytes meet in one task, which builds their branch of the trie
@@ -41,7 +41,7 @@ from salesmart.llm.words import LOWER, Words
 
 ORDER = 5
 PAD, END = 0xFE, 0xFF
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 32 << 20
 #: Grams take some 50 bytes for each byte of text while they are looked up.
 GRAM_BYTES = 1 << 20
 WORD_BITS = (1 << 62) - 1
@@ -133,24 +133,36 @@ def code_grams(grams: np.ndarray, counts: np.ndarray, low: dict[str, np.ndarray]
     return out
 
 
+PARTS = "block long, n_train long, payload binary"
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column block: texts that follow each other in a task, BLOCK_BYTES or one text."""
+    """Parts of blocks: a block is texts that follow each other in a task, BLOCK_BYTES or one text; a part
+    holds some of its (doc_id, text, train), compressed, so blocks move between tasks at a third of their size."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            size = np.diff(text_buffers(batch.column(1))[1])
-            out = np.zeros(len(size), dtype=np.int64)
-            for i, n in enumerate(size.tolist()):
+            offsets = text_buffers(batch.column(1))[1]
+            for a, b in slices(offsets):
+                n = int(offsets[b] - offsets[a])
                 if held and held + n > BLOCK_BYTES:
                     block, held = block + 1, 0
-                out[i] = block
                 held += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["doc_id", "text", "train", "block"])
+                part, sink = batch.slice(a, b - a), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                learn = int(np.count_nonzero(part.column(2).to_numpy(zero_copy_only=False)))
+                yield pa.record_batch([pa.array([block]), pa.array([learn]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_train", "payload"])
+
+    return map_arrow(docs, dealt, PARTS)
+
 
-    return map_arrow(docs, dealt, "doc_id long, text string, train boolean, block long")
+def _unpacked(payload: pa.Scalar) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    t = pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks().to_batches()[0]
+    return t.column(0), t.column(1), t.column(2).to_numpy(zero_copy_only=False)
 
 
 def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
@@ -170,14 +182,12 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
             yield from t.combine_chunks().to_batches(max_chunksize=100_000)
 
         for batch in batches:
-            texts, train, of = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            for own in np.unique(of).tolist():
-                if block is not None and own != block and held:
+            for own, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != block and held:
                     yield from done()
                     held, size = [], 0
                 block = own
-                rows = np.flatnonzero(of == own)
-                part, learn = texts.slice(rows[0], len(rows)), train[rows]
+                _, part, learn = _unpacked(payload)
                 for a, b in slices(text_buffers(part)[1]):
                     if what == "words":
                         w = Words(part.slice(a, b - a))
@@ -200,7 +210,7 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
         held = []
         pa.default_memory_pool().release_unused()
 
-    return map_arrow(blocks.select("text", "train", "block"), counted, schema)
+    return map_arrow(blocks.select("block", "payload"), counted, schema)
 
 
 def _coded(totals: DataFrame, low: dict[str, np.ndarray]) -> DataFrame:
@@ -238,8 +248,8 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     ship(spark)
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of != held_out, F.lit(True))
     path = run_folder(spark, "text-blocks")
-    _blocks(texts(docs).withColumn("train", train)).write.option("compression", "zstd").parquet(path)
-    blocks = spark.read.parquet(path)
+    _blocks(texts(docs).withColumn("train", train)).write.option("compression", "none").parquet(path)
+    blocks = spark.read.schema(PARTS).parquet(path)
 
     # words: the sum of a word's counts, brought to every block that has it
     words = _counted(blocks, "words", "key string, n long, block long")
@@ -249,7 +259,7 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     words.write.option("compression", "zstd").parquet(path)
     words = spark.read.parquet(path)
     n_words, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("total") > 0), 1))).first()
-    ends = blocks.where("train").count()
+    ends = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     n_all, distinct = n_words + ends, known + (1 if ends else 0)
 
     # grams: their counts, the trie, and the code length of each
@@ -274,18 +284,20 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
         key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
-        text = left.column("text").combine_chunks()
-        text = text.cast(pa.large_string()) if isinstance(text, pa.Array) else pa.concat_arrays([c.cast(pa.large_string()) for c in text.chunks] or [pa.array([], pa.large_string())])
-        tokens, known, base, score = [], [], [], []
-        for a, b in slices(text_buffers(text)[1]):
-            part = text.slice(a, b - a)
+        del right
+        names, train, tokens, known, base, score = [], [], [], [], [], []
+        for payload in left.column("payload"):
+            own, part, learn = _unpacked(payload)
+            n = len(own)
             w = Words(part)
             name = np.fromiter((-(xxh64_intdigest(x, 42) & WORD_BITS) - 1 for x in w.names.to_pylist()), dtype=np.int64, count=len(w.names))
             c = value[np.searchsorted(key, name)][w.code] if len(w.code) else np.zeros(0)
-            row = np.repeat(np.arange(b - a), w.count)
+            row = np.repeat(np.arange(n), w.count)
+            names.append(own)
+            train.append(learn)
             tokens.append(w.count + 1)
-            known.append(np.bincount(row, weights=c > 0, minlength=b - a).astype(np.int64) + (ends > 0))
-            base.append(np.bincount(row, weights=np.log10(c + 1), minlength=b - a) + np.log10(ends + 1) - (w.count + 1) * scale)
+            known.append(np.bincount(row, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0))
+            base.append(np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1) - (w.count + 1) * scale)
             for x, y in slices(text_buffers(part)[1], GRAM_BYTES):
                 data, offsets = text_buffers(part.slice(x, y - x))
                 keys, at = gram_keys(LOWER[data], offsets)
@@ -293,7 +305,7 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
                 bits = value[np.searchsorted(key, coded.dictionary.to_numpy())][coded.indices.to_numpy()]
                 score.append(np.add.reduceat(bits, at[:-1]))
         pa.default_memory_pool().release_unused()
-        cols = [left.column("doc_id"), left.column("train"), *(pa.array(np.concatenate(x)) for x in (tokens, known, base, score))]
+        cols = [pa.concat_arrays(names), *(pa.array(np.concatenate(x)) for x in (train, tokens, known, base, score))]
         return pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")])
 
     out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, SCORES)
