@@ -36,8 +36,9 @@ def brl(c) -> Column:
 
 
 def pct_text(c) -> Column:
-    """Percent text with decimal comma, no grouping: ``17,28%``."""
-    return F.concat(F.regexp_replace(F.format_string("%.2f", _dec2(c).cast("double")), r"\.", ","), F.lit("%"))
+    """Percent text with decimal comma, no grouping: ``17,28%`` (X2); NULL stays NULL (``format_string`` prints it)."""
+    d = _dec2(c).cast("double")
+    return F.when(d.isNotNull(), F.concat(F.regexp_replace(F.format_string("%.2f", d), r"\.", ","), F.lit("%")))
 
 
 def int_text(c) -> Column:

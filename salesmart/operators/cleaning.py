@@ -105,9 +105,17 @@ def analytic_base(orders: DataFrame, customers: DataFrame, items: DataFrame) ->
     return derive_values(base)
 
 
-def enrich(base: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
+def join_attributes(left: DataFrame, dim: DataFrame, key: str, spread: str, buckets: int = 1024) -> DataFrame:
+    """left ⟕ dim on ``key``, where rows without a key match nothing: they are dealt over the tasks by a hash
+    of ``spread`` (itemless orders have no product and no seller, and would all meet in one task)."""
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(buckets))).otherwise(F.lit(0))
+    d = dim.where(F.col(key).isNotNull()).withColumn("_part", F.lit(0).cast("bigint"))
+    return left.withColumn("_part", part).join(d, [key, "_part"], "left").drop("_part")
+
+
+def enrich(base: DataFrame, products: DataFrame, sellers: DataFrame, spread: str = "order_id") -> DataFrame:
     """Add product and seller attributes (J3); join strategy left to AQE by size."""
-    return base.join(products, "product_id", "left").join(sellers, "seller_id", "left")
+    return join_attributes(join_attributes(base, products, "product_id", spread), sellers, "seller_id", spread)
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,6 +37,10 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         "bin", "inicio", "fim", F.coalesce("contagem", F.lit(0)).alias("contagem"))
 
 
+#: exp(-z^2 / 2) is 0.0 in double from z = 38.61 on.
+FAR = 38.7
+
+
 def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian kernel density at ``grid`` points over [min, max], Scott bandwidth.
 
@@ -52,12 +56,16 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     g = lo + step * F.col("ponto").cast("double")
     z = (g - F.col("x")) / h
     kernel = F.exp(F.lit(-0.5) * (z * z))
-    # a fixed fan-out of `grid` rows per value; explode + project stay in
-    # whole-stage codegen, and the sum per grid point combines map-side, so the
-    # values themselves are never shuffled
-    per_point = (x.where(h > 0)
-                 .select("x", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("ponto"))
-                 .groupBy("ponto").agg(F.sum(kernel).alias("s")))
+    # beyond FAR bandwidths the kernel is exactly 0.0 in double, so a value adds to the grid points
+    # within that reach alone; explode + project stay in whole-stage codegen, and the sum per grid
+    # point combines map-side, so the values themselves are never shuffled
+    first = F.greatest(F.ceil((F.col("x") - h * FAR - lo) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("x") + h * FAR - lo) / step), F.lit(grid - 1)).cast("int")
+    near = x.where(h > 0).select("x", first.alias("first"), last.alias("last")).where("first <= last")
+    sums = (near.select("x", F.explode(F.sequence("first", "last")).alias("ponto"))
+            .groupBy("ponto").agg(F.sum(kernel).alias("s")))
+    points = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("ponto")).where(h > 0)
+    per_point = points.join(sums, "ponto", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     norm = n.cast("double") * h * F.lit(math.sqrt(2 * math.pi))
     return per_point.select(
         F.col("ponto").cast("bigint").alias("ponto"),

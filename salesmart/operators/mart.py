@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import month_name, year_month
+from salesmart.operators.cleaning import join_attributes
 from salesmart.params import Period
 
 FACT_COLUMNS = {
@@ -106,6 +107,16 @@ def customers_as_dim(customers: DataFrame) -> DataFrame:
     return _rename(customers.where(F.col("customer_unique_id").isNotNull()), CUSTOMER_COLUMNS)
 
 
+def products_as_dim(products: DataFrame) -> DataFrame:
+    """All products under the dimension's names, for joins that add attributes to given rows."""
+    return _rename(products, PRODUCT_COLUMNS)
+
+
+def sellers_as_dim(sellers: DataFrame) -> DataFrame:
+    """All sellers under the dimension's names, for joins that add attributes to given rows."""
+    return _rename(sellers, SELLER_COLUMNS)
+
+
 def _dim_from_keys(base: DataFrame, key: str, attrs: DataFrame, mapping: dict[str, str]) -> DataFrame:
     keys = base.select(key).where(F.col(key).isNotNull()).distinct()
     return _rename(keys.join(attrs, key, "left"), mapping)
@@ -164,15 +175,18 @@ def translate_categories(dim_produtos: DataFrame, translation: DataFrame) -> Dat
 
 
 def sales_base(mart: Mart, period: Period) -> DataFrame:
-    """Fact ⟕ the four dimensions, period filter on the time dimension.
+    """Fact ⟕ the four dimensions, months of the period.
 
-    The filter on ``dim_tempo`` rejects NULLs, so Catalyst turns that left join
-    into an inner join; the time dimension has one row per calendar date, a
-    bound that does not grow with the data, so it is broadcast.
+    Whole months are chosen by ``data`` itself, so the filter reaches the scans of
+    the fact and of the time dimension, and rows without a date go. The time
+    dimension has one row per calendar date, a bound that does not grow with the
+    data, so it is broadcast.
     """
-    t = mart.dim_tempo.where(F.col("ano_mes").between(period.first_month, period.last_month))
-    return (mart.fato
-            .join(mart.dim_clientes, "id_cliente", "left")
-            .join(mart.dim_produtos, "id_produto", "left")
-            .join(mart.dim_vendedores, "id_vendedor", "left")
-            .join(F.broadcast(t), "data", "inner"))
+    first, last = F.lit(period.start.replace(day=1)), F.last_day(F.lit(period.end))
+    f = mart.fato.where(F.col("data").between(first, last))
+    if "ano_mes" in f.columns:
+        f = f.where(F.col("ano_mes").between(period.first_month, period.last_month)).drop("ano_mes")
+    for dim, key in ((mart.dim_clientes, "id_cliente"), (mart.dim_produtos, "id_produto"), (mart.dim_vendedores, "id_vendedor")):
+        f = join_attributes(f, dim, key, "id_pedido")
+    t = mart.dim_tempo.where(F.col("data").between(first, last))
+    return f.join(F.broadcast(t), "data", "inner")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.functions.text import brl, int_text, pct_text
+from salesmart.functions.text import brl, days_text, int_text, pct_text
 from salesmart.operators import reports as R
 
 
@@ -49,9 +49,10 @@ def state_revenue_rows(orders_c: DataFrame) -> DataFrame:
 
 
 def payload_states(orders_c: DataFrame, focus_state: str) -> DataFrame:
-    """State -> money text map plus the focus state's share."""
+    """State -> money text map plus the focus state's share, 0 where it has no sales."""
     m = ordered_map(state_revenue_rows(orders_c), "posicao", "estado_cliente", "receita_texto")
-    s = R.state_share(orders_c, focus_state).select(pct_text("participacao_pct").alias("participacao_foco"))
+    s = R.state_share(orders_c, focus_state).select(
+        pct_text(F.coalesce("participacao_pct", F.lit(0.0))).alias("participacao_foco"))
     return m.select(F.to_json("mapa").alias("receita_por_estado"), s.scalar().alias("participacao_foco"))
 
 
@@ -99,3 +100,25 @@ def late_rows(orders_c: DataFrame, min_orders: int, k: int = 5) -> DataFrame:
 def payload_ranked(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """Ranked rows -> one-row JSON map (R6, R7); an empty input gives ``{}``."""
     return ordered_map(rows, "posicao", key, text).select(F.to_json("mapa").alias(name))
+
+
+def payload_impact(rows: DataFrame, key: str, text: str, text_name: str, name: str) -> DataFrame:
+    """Ranked rows -> one-row JSON map key -> {percent text, order count text}."""
+    both = F.struct(F.col(text).alias(text_name), F.col("pedidos_texto").alias("total_pedidos"))
+    return payload_ranked(rows.withColumn("_ambos", both), key, "_ambos", name)
+
+
+def formatted_snapshot(snapshot: DataFrame) -> DataFrame:
+    """KPI snapshot as text."""
+    return snapshot.select(
+        "data_calculo", brl("receita_total").alias("receita_total"), int_text("total_pedidos").alias("total_pedidos"),
+        brl("ticket_medio").alias("ticket_medio"), pct_text("taxa_atraso").alias("taxa_atraso"),
+        pct_text("perc_pedidos_criticos").alias("perc_pedidos_criticos"))
+
+
+def formatted_delivery(view: DataFrame) -> DataFrame:
+    """Delivery performance by state as text, days with their suffix."""
+    counts = ("total_pedidos", "pedidos_entregues", "pedidos_atrasados")
+    return view.select("estado_cliente", *[int_text(c).alias(c) for c in counts],
+                       days_text("tempo_medio_entrega_dias").alias("tempo_medio_entrega"),
+                       pct_text("taxa_atraso_pct").alias("taxa_atraso_pct"))

@@ -72,5 +72,5 @@ def driver_params() -> Params:
         min_orders=450,
         delivered_status="F",
         top_k=10,
-        focus_state="BRAZIL",
+        focus_state="NATION_7",
     )

@@ -5,7 +5,7 @@ period sales -> per-order facts), mirroring ``sources.tpch`` and
 ``operators.orders``; each key only adds its report part. Parameters are the
 sf0.01 values of ``params.driver_params``: period 1996-01-01..2000-12-31,
 delivered status 'F', critical below 100000 with freight over 5 %, late
-ranking from 450 orders, focus state BRAZIL, top 10.
+ranking from 450 orders, focus state NATION_7, top 10.
 """
 
 from __future__ import annotations
@@ -368,15 +368,15 @@ FROM (SELECT row_number() OVER (ORDER BY r DESC, id_vendedor) AS posicao, id_ven
       FROM (SELECT s.id_vendedor, sum(s.valor_total_item) AS r FROM sales s JOIN vend v ON s.id_vendedor = v.id_vendedor
             GROUP BY s.id_vendedor {_top('sum(s.valor_total_item)', 's.id_vendedor', 10)}))""",
     "state_share": f"""
-SELECT 'BRAZIL' AS estado_cliente,
-       CAST(sum(CASE WHEN estado_cliente = 'BRAZIL' THEN receita_itens END) AS DOUBLE) AS receita_estado,
+SELECT 'NATION_7' AS estado_cliente,
+       CAST(sum(CASE WHEN estado_cliente = 'NATION_7' THEN receita_itens END) AS DOUBLE) AS receita_estado,
        CAST(sum(receita_itens) AS DOUBLE) AS receita_total,
-       {_r("sum(CASE WHEN estado_cliente = 'BRAZIL' THEN receita_itens END)", 'sum(receita_itens)')} AS participacao_pct
+       {_r("sum(CASE WHEN estado_cliente = 'NATION_7' THEN receita_itens END)", 'sum(receita_itens)')} AS participacao_pct
 FROM pc""",
     "state_report": f"""
-SELECT 'BRAZIL' AS estado_cliente, CAST(CAST(sum(receita_itens) AS DECIMAL(15,2)) AS DOUBLE) AS receita_total,
+SELECT 'NATION_7' AS estado_cliente, CAST(CAST(sum(receita_itens) AS DECIMAL(15,2)) AS DOUBLE) AS receita_total,
        count(*) AS total_pedidos, round({_r('sum(receita_itens)', 'count(*)', '')}, 2) AS ticket_medio
-FROM pc WHERE estado_cliente = 'BRAZIL'""",
+FROM pc WHERE estado_cliente = 'NATION_7'""",
     "orders_by_weekday": """
 SELECT CAST(isodow(data) AS BIGINT) AS dia_semana, dayname(data) AS nome_dia, count(*) AS total_pedidos,
        CAST(sum(receita_itens) AS DOUBLE) AS receita_total
@@ -575,6 +575,84 @@ FROM clog WHERE data_consulta >= CAST(DATE '2000-12-31' - INTERVAL 90 DAY AS TIM
 }
 
 
+def _json_map(key: str, value: str, order: str) -> str:
+    """One row: the JSON object of ``key`` -> ``value`` (JSON text) in ``order``."""
+    return f"""'{{' || coalesce(string_agg('"' || {key} || '":' || {value}, ',' ORDER BY {order}), '') || '}}'"""
+
+
+WIDE_SPINE = """
+, wide AS (SELECT strftime(m, '%Y-%m') AS ano_mes
+  FROM generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2002-12-01', INTERVAL 1 MONTH) t(m))"""
+TEXT_ROWS = """
+, txt AS (SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE CAST(ts AS VARCHAR) END AS instante,
+    CASE WHEN event_type = 'error' THEN event_type ELSE regexp_extract(props, ': ([0-9]+)', 1) END AS valor FROM events)"""
+
+BODIES |= {
+    "city_respelled": f"""
+SELECT CASE WHEN cidade_cliente IN ('automobile nation_7', 'building nation_7', 'furniture nation_7', 'household nation_7',
+         'machinery nation_7') THEN 'Nation 7' ELSE cidade_cliente END AS cidade_normalizada,
+       count(DISTINCT id_pedido) AS total_pedidos
+FROM sales WHERE id_cliente IS NOT NULL GROUP BY 1 {_top('count(DISTINCT id_pedido)', '1')}""",
+    "enriched_base": """
+SELECT f.id_pedido AS order_id, CAST(f.id_item_pedido AS BIGINT) AS order_item_id, f.id_produto AS product_id,
+       f.id_vendedor AS seller_id, p.p_type AS product_category_name, CAST(p.p_size AS BIGINT) AS product_weight_g,
+       lower(n.n_name) AS seller_city, n.n_name AS seller_state, CAST(f.valor_total_item AS DOUBLE) AS valor_total_item
+FROM fato f LEFT JOIN part p ON f.id_produto = p.p_partkey LEFT JOIN supplier s ON f.id_vendedor = s.s_suppkey
+LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""",
+    "dim_clientes_earliest": """
+SELECT estado_cliente AS id_cliente, cep_prefixo_cliente, cidade_cliente, estado_cliente
+FROM (SELECT c.*, row_number() OVER (PARTITION BY c.estado_cliente ORDER BY o.ts_compra, o.order_id) AS nr
+      FROM o JOIN c ON o.customer_id = c.customer_id WHERE c.estado_cliente IS NOT NULL)
+WHERE nr = 1""",
+    "text_cleaned": TEXT_ROWS + f"""
+SELECT event_id, {_ts('TRY_CAST(instante AS TIMESTAMP)')} AS instante, TRY_CAST(valor AS DOUBLE) AS valor,
+       coalesce(TRY_CAST(valor AS DOUBLE), 0) AS valor_ou_zero FROM txt""",
+    "text_keyed": TEXT_ROWS + f"""
+SELECT event_id, {_ts('TRY_CAST(instante AS TIMESTAMP)')} AS instante, coalesce(TRY_CAST(valor AS DOUBLE), 0) AS valor,
+       coalesce(TRY_CAST(valor AS DOUBLE), 0) AS valor_ou_zero FROM txt WHERE TRY_CAST(instante AS TIMESTAMP) IS NOT NULL""",
+    "formatted_snapshot": f"""
+SELECT '2000-12-31' AS data_calculo, {_brl('CAST(sum(receita_itens) AS DECIMAL(15,2))')} AS receita_total,
+       {_int('count(*)')} AS total_pedidos, {_brl(f"round({_r('sum(receita_itens)', 'count(*)', '')}, 2)")} AS ticket_medio,
+       {_pct(f"round({_r('count(*) FILTER (WHERE pedido_entregue = 1 AND entregue_com_atraso = 1)', 'count(*) FILTER (WHERE pedido_entregue = 1)')}, 2)")} AS taxa_atraso,
+       {_pct(f"round({_r('sum(pedido_critico)', 'count(*)')}, 2)")} AS perc_pedidos_criticos
+FROM pedidos""",
+    "formatted_delivery": f"""
+SELECT estado_cliente, {_int('n')} AS total_pedidos, {_int('e')} AS pedidos_entregues, {_int('a')} AS pedidos_atrasados,
+       CAST(CAST(round(CAST(d AS DECIMAL(38,10)), 0) AS BIGINT) AS VARCHAR) || ' dias' AS tempo_medio_entrega,
+       {_pct(_r('a', 'e'))} AS taxa_atraso_pct
+FROM (SELECT cli.estado_cliente, count(DISTINCT id_pedido) AS n,
+             count(DISTINCT CASE WHEN pedido_entregue = 1 THEN id_pedido END) AS e,
+             count(DISTINCT CASE WHEN entregue_com_atraso = 1 THEN id_pedido END) AS a,
+             round({_r('sum(tempo_entrega_dias)', 'count(tempo_entrega_dias)', '')}, 6) AS d
+      FROM sales JOIN cli USING (id_cliente) GROUP BY cli.estado_cliente)""",
+    "month_spine_wide": WIDE_SPINE + """
+SELECT w.ano_mes, coalesce(CAST(m.receita_mensal AS DOUBLE), 0) AS receita_mensal FROM wide w LEFT JOIN monthly m USING (ano_mes)""",
+    "rate_filled_wide": WIDE_SPINE + """
+SELECT w.ano_mes, round(CASE WHEN w.ano_mes < (SELECT min(ano_mes) FROM rates) THEN (SELECT arg_min(cotacao, ano_mes) FROM rates)
+  ELSE (SELECT arg_max(r.cotacao, r.ano_mes) FROM rates r WHERE r.ano_mes <= w.ano_mes) END, 6) AS cotacao FROM wide w""",
+    "payload_states_map": f"""
+SELECT {_json_map('estado_cliente', f"""'"' || {_brl('r')} || '"'""", 'r DESC NULLS LAST, estado_cliente')} AS receita_por_estado,
+       {_pct(_r("sum(r) FILTER (WHERE estado_cliente = 'NATION_7')", '(SELECT sum(receita_itens) FROM pc)'))} AS participacao_foco
+FROM (SELECT estado_cliente, sum(receita_itens) AS r FROM pc WHERE estado_cliente IS NOT NULL GROUP BY estado_cliente)""",
+    "payload_months_map": f"""
+SELECT {_json_map('ano_mes', f"""'"' || {_brl('receita_mensal')} || '"'""", 'ano_mes')} AS receita_mensal FROM monthly""",
+    "payload_freight_map": f"""
+SELECT {_json_map('estado_cliente', f"""'{{"frete_percentual":"' || {_pct('p')} || '","total_pedidos":"' || {_int('n')} || '"}}'""", 'p DESC NULLS LAST, estado_cliente')}
+  AS estados_maior_frete
+FROM (SELECT cli.estado_cliente, {_r('sum(valor_frete)', 'sum(valor_total_item)')} AS p, count(DISTINCT id_pedido) AS n
+      FROM sales JOIN cli USING (id_cliente) WHERE cli.estado_cliente IS NOT NULL GROUP BY cli.estado_cliente
+      {_top('p', 'cli.estado_cliente', 5)})""",
+    "payload_late_map": f"""
+SELECT {_json_map('estado_cliente', f"""'{{"taxa_atraso":"' || {_pct('p')} || '","total_pedidos":"' || {_int('n')} || '"}}'""", 'p DESC NULLS LAST, estado_cliente')}
+  AS estados_maior_atraso
+FROM (SELECT cli.estado_cliente, count(DISTINCT id_pedido) AS n,
+             {_r('count(DISTINCT CASE WHEN entregue_com_atraso = 1 THEN id_pedido END)',
+                 'count(DISTINCT CASE WHEN pedido_entregue = 1 THEN id_pedido END)')} AS p
+      FROM sales JOIN cli USING (id_cliente) WHERE cli.estado_cliente IS NOT NULL GROUP BY cli.estado_cliente
+      HAVING count(DISTINCT id_pedido) >= 450 {_top('p', 'cli.estado_cliente', 5)})""",
+}
+
+
 def oracle() -> dict[str, str]:
     out = {}
     for k, body in BODIES.items():

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesmart.functions.columns import city_normal, share_pct
+from salesmart.functions.columns import city_normal, safe_double, safe_double_or_zero, safe_timestamp, share_pct
 from salesmart.functions.text import YES, brl, int_text
 from salesmart.operators import changelog as G
+from salesmart.operators import cleaning as C
 from salesmart.operators import distribution as D
 from salesmart.operators import forecast as M
 from salesmart.operators import payloads as P
@@ -28,8 +29,14 @@ from salesmart.operators import series as S
 from salesmart.operators import mart as mart_ops
 from salesmart.operators.mart import Mart, sales_base
 from salesmart.operators.orders import order_facts_direct, with_customer
-from salesmart.params import driver_params
-from salesmart.sources.tpch import driver_base, driver_orders, raw_tables, table
+from salesmart.params import Period, driver_params
+from salesmart.sources.tpch import driver_base, driver_orders, raw_tables, raw_text, table
+
+
+# Parameters that make spine, fills and city map act on the driver tables: a spine wider than the
+# report period, and one common spelling for the cities of the focus state.
+WIDE_PERIOD = Period.of("1994-01-01", "2002-12-31")
+CITY_SPELLINGS = {f"{s} nation_7": "Nation 7" for s in ("automobile", "building", "furniture", "household", "machinery")}
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -229,7 +236,9 @@ def _analytic_base(j: Job):
 
 
 def _sales_base(j: Job):
-    sb = sales_base(j.mart, j.p.period)
+    # attributes are added to given rows, so the whole raw dimensions serve: no pass over the items for their keys
+    m = Mart(j.fato, j.customers, mart_ops.products_as_dim(j.raw.products), mart_ops.sellers_as_dim(j.raw.sellers), j.dim_tempo)
+    sb = sales_base(m, j.p.period)
     return sb.select("id_pedido", "id_item_pedido", "id_cliente", "id_produto", "id_vendedor", "data", "ano_mes",
                      "status_pedido", "valor_total_item", "valor_frete", "estado_cliente", "cidade_cliente",
                      "categoria_produto", "estado_vendedor")
@@ -329,6 +338,35 @@ def _city_normalized(j: Job):
     return R.orders_by(oc, "cidade_normalizada", j.p.top_k)
 
 
+def _city_respelled(j: Job):
+    oc = j.orders_c.withColumn("cidade_normalizada", city_normal("cidade_cliente", CITY_SPELLINGS))
+    return R.orders_by(oc, "cidade_normalizada", j.p.top_k)
+
+
+def _enriched_base(j: Job):
+    """Item rows with product and seller attributes."""
+    return C.enrich(j.base, j.raw.products, j.raw.sellers).select(
+        "order_id", "order_item_id", "product_id", "seller_id", "product_category_name", "product_weight_g",
+        "seller_city", "seller_state", "valor_total_item")
+
+
+def _dim_clientes_earliest(j: Job):
+    """Customer dimension where many customers share a unique id, here their state: the city of the earliest purchase."""
+    customers = j.raw.customers.withColumn("customer_unique_id", F.col("customer_state"))
+    return mart_ops.dim_clientes(j.raw.orders.join(customers, "customer_id", "left"))
+
+
+def _text_cleaned(j: Job):
+    """Text to time and numbers; what can't be parsed is NULL, or 0."""
+    return raw_text(j.raw).select("event_id", safe_timestamp("instante").alias("instante"), safe_double("valor").alias("valor"),
+                                  safe_double_or_zero("valor").alias("valor_ou_zero"))
+
+
+def _text_keyed(j: Job):
+    """Cleaned rows with a time, missing numbers 0."""
+    return C.fill_zero(C.drop_null_keys(_text_cleaned(j), ["instante"]), ["valor"])
+
+
 def _revenue_by_city(j: Job):
     return R.revenue_by(j.orders_c, "cidade_cliente", j.p.top_k)
 
@@ -442,6 +480,14 @@ def _formatted_views(j: Job):
                     int_text("total_pedidos").alias("total_pedidos"), brl("ticket_medio").alias("ticket_medio"))
 
 
+def _formatted_snapshot(j: Job):
+    return P.formatted_snapshot(R.kpi_snapshot(j.orders, j.p.period.end))
+
+
+def _formatted_delivery(j: Job):
+    return P.formatted_delivery(R.view_delivery_performance(j.orders_c))
+
+
 def _cumulative_revenue(j: Job):
     return S.cumulative(j.monthly)
 
@@ -478,6 +524,16 @@ def _rate_filled(j: Job):
     return j.rates_filled.withColumn("cotacao", F.round("cotacao", 6))
 
 
+def _month_spine_wide(j: Job):
+    return S.on_spine(S.month_spine(j.spark, WIDE_PERIOD), j.monthly, ["receita_mensal"])
+
+
+def _rate_filled_wide(j: Job):
+    """Months before the first rate and after the last one take their neighbour's."""
+    wide = S.on_spine(S.month_spine(j.spark, WIDE_PERIOD), j.rates)
+    return S.fill_both(wide, "cotacao").withColumn("cotacao", F.round("cotacao", 6))
+
+
 def _series_correlation(j: Job):
     both = j.revenue_on_spine.join(j.rates_filled, "ano_mes", "inner")
     return S.correlation(both, "receita_mensal", "cotacao")
@@ -543,6 +599,23 @@ def _payload_late(j: Job):
     return P.late_rows(j.orders_c, j.p.min_orders, 5)
 
 
+def _payload_states_map(j: Job):
+    return P.payload_states(j.orders_c, j.p.focus_state)
+
+
+def _payload_months_map(j: Job):
+    return P.payload_months(j.orders)
+
+
+def _payload_freight_map(j: Job):
+    return P.payload_impact(P.freight_rows(j.orders_c, 5), "estado_cliente", "frete_texto", "frete_percentual", "estados_maior_frete")
+
+
+def _payload_late_map(j: Job):
+    rows = P.late_rows(j.orders_c, j.p.min_orders, 5)
+    return P.payload_impact(rows, "estado_cliente", "taxa_texto", "taxa_atraso", "estados_maior_atraso")
+
+
 def _change_log(j: Job):
     return j.change_log
 
@@ -574,6 +647,9 @@ _JOBS: list[Callable[[Job], DataFrame]] = [
     _series_verdict, _rate_change, _month_trend, _forecast, _trend_quality, _ticket_histogram,
     _delivery_histogram, _ticket_density, _payload_root, _payload_states, _payload_months, _payload_insights,
     _payload_freight, _payload_late, _change_log, _change_log_view, _log_retention, _apply_changes,
+    _city_respelled, _enriched_base, _dim_clientes_earliest, _text_cleaned, _text_keyed, _formatted_snapshot,
+    _formatted_delivery, _month_spine_wide, _rate_filled_wide, _payload_states_map, _payload_months_map,
+    _payload_freight_map, _payload_late_map,
 ]
 
 DIMS = {"dim_clientes": _dim("dim_clientes"), "dim_produtos": _dim("dim_produtos"),

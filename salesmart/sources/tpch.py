@@ -44,6 +44,7 @@ SCHEMAS = {
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
 
@@ -126,6 +127,14 @@ class RawTables:
         )
 
 
+def raw_text(raw: RawTables) -> DataFrame:
+    """Events as raw text: time and number are text, and in rows of type ``error`` neither can be parsed."""
+    broken = F.col("event_type") == "error"
+    return raw._t("events").select(
+        "event_id", F.when(broken, F.col("props")).otherwise(F.col("ts").cast("string")).alias("instante"),
+        F.when(broken, F.col("event_type")).otherwise(F.regexp_extract("props", ": ([0-9]+)", 1)).alias("valor"))
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """Driver tables in the raw shape."""
     return RawTables(spark, sf_dir)

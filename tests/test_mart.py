@@ -128,3 +128,17 @@ def test_invariants_on_small_period(mart):
     by_month = o.groupBy("ano_mes").agg(F.sum("receita_itens").alias("r")).agg(F.sum("r")).first()[0]
     by_state = oc.groupBy("estado_cliente").agg(F.sum("receita_itens").alias("r")).agg(F.sum("r")).first()[0]
     assert total == by_month == by_state
+
+
+def test_rows_without_key_are_spread_and_kept(spark):
+    """Rows without a product match nothing, not even a product without an id, and meet in no single task."""
+    from salesmart.operators.cleaning import join_attributes
+
+    left = spark.range(5000).select(F.col("id").alias("o"), F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("k"))
+    dim = spark.createDataFrame([(0, "a"), (2, "b"), (None, "x")], "k bigint, v string")
+    out = join_attributes(left, dim, "k", "o")
+    assert out.columns == ["k", "o", "v"] and out.count() == 5000
+    assert {(r[0], r[1]): r[2] for r in out.groupBy("k", "v").count().collect()} == {
+        (None, None): 2500, (0, "a"): 500, (2, "b"): 500, (4, None): 500, (6, None): 500, (8, None): 500}
+    part = F.pmod(F.xxhash64("o"), F.lit(1024))
+    assert left.where("k IS NULL").groupBy(part).count().count() > 500

@@ -30,3 +30,22 @@ def test_ranked_payloads_empty_safe(spark):
     assert len(json.loads(top)) == 5
     k = P.formatted_kpis(j.orders).first()
     assert k["receita_total"].startswith("R$ ") and "," in k["receita_total"]
+
+
+def test_impact_payload_has_percent_and_orders(spark):
+    j = Job(spark, SF001)
+    rows = P.freight_rows(j.orders_c, 5)
+    got = json.loads(P.payload_impact(rows, "estado_cliente", "frete_texto", "frete_percentual", "estados").first()["estados"])
+    want = {r["estado_cliente"]: {"frete_percentual": r["frete_texto"], "total_pedidos": r["pedidos_texto"]} for r in rows.collect()}
+    assert got == want and list(got) == [r["estado_cliente"] for r in rows.orderBy("posicao").collect()]
+
+
+def test_percent_text_of_null_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from salesmart.functions.text import pct_text
+
+    d = spark.sql("SELECT CAST(NULL AS DOUBLE) AS a, 17.276D AS b").select(pct_text("a").alias("a"), pct_text(F.col("b")).alias("b"))
+    assert tuple(d.first()) == (None, "17,28%")
+    j = Job(spark, SF001)
+    assert P.payload_states(j.orders_c, "no such state").first()["participacao_foco"] == "0,00%"

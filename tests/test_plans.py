@@ -75,3 +75,47 @@ def test_projection_pruned(static_spark):
     p = _plan(R.kpi_totals(Job(static_spark, SF01).orders))
     li_scan = [ln for ln in p.splitlines() if "FileScan parquet" in ln and "l_orderkey" in ln][0]
     assert "l_comment" not in li_scan and "l_returnflag" not in li_scan and "l_quantity" not in li_scan
+
+
+def test_sales_base_filters_by_date_and_splits_products(static_spark):
+    """The period reaches the orders scans; the raw dimensions come by plain exchanges on key and part,
+    and the items are read twice at most (per-order aggregate, item join)."""
+    from salesmart.plans.queries import registry
+
+    p = _plan(registry()["sales_base"](static_spark, SF01))
+    scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln]
+    assert all("GreaterThanOrEqual(o_orderdate" in ln or "DataFilters: [cast(o_orderdate" in ln
+               for ln in scans if "o_orderdate" in ln)
+    assert re.search(r"Exchange hashpartitioning\(id_produto#\d+L?, _part#", p)
+    assert re.search(r"Exchange hashpartitioning\(id_vendedor#\d+L?, _part#", p)
+    reads = set(re.findall(r"FileScan parquet \[(l_orderkey[^\]]*)\]", p))
+    assert len({re.sub(r"#\d+L?", "", r) for r in reads}) <= 2
+
+
+@pytest.mark.parametrize("acting, plain", [("city_respelled", "orders_by_city"), ("month_spine_wide", "monthly_revenue"),
+                                           ("rate_filled_wide", "rate_monthly")])
+def test_keys_that_act(spark, acting, plain):
+    from salesmart.plans.queries import registry
+
+    assert {tuple(r) for r in registry()[acting](spark, SF01).collect()} != {tuple(r) for r in registry()[plain](spark, SF01).collect()}
+
+
+def test_narrow_density_adds_few_points(spark):
+    """A narrow bandwidth gives each value a few grid points; the sums equal those of all points."""
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from salesmart.operators.distribution import density
+
+    xs = [i / 1000 for i in range(4000)] + [1e5]
+    got = {r["ponto"]: r for r in density(spark.createDataFrame([(x,) for x in xs], "v double"), "v").collect()}
+    h = statistics.stdev(xs) * len(xs) ** -0.2
+    step = (max(xs) - min(xs)) / 199
+    assert len(got) == 200
+    for k in (0, 1, 50, 198, 199):
+        s = sum(math.exp(-0.5 * ((k * step - x) / h) ** 2) for x in xs)
+        assert got[k]["densidade_x1e6"] == pytest.approx(s / (len(xs) * h * math.sqrt(2 * math.pi)) * 1e6, abs=2e-6)
+    near = math.ceil(2 * 38.7 * h / step)
+    assert near < 200
