@@ -109,7 +109,8 @@ def join_attributes(left: DataFrame, dim: DataFrame, key: str, spread: str, buck
     """left ⟕ dim on ``key``, where rows without a key match nothing: they are dealt over the tasks by a hash
     of ``spread`` (itemless orders have no product and no seller, and would all meet in one task)."""
     part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(buckets))).otherwise(F.lit(0))
-    d = dim.where(F.col(key).isNotNull()).withColumn("_part", F.lit(0).cast("bigint"))
+    # computed from the key: a plain 0 would be folded into a filter and not be part of the exchange
+    d = dim.withColumn("_part", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))
     return left.withColumn("_part", part).join(d, [key, "_part"], "left").drop("_part")
 
 
