@@ -72,6 +72,11 @@ class Job:
     def base(self) -> DataFrame:
         return driver_base(self.raw, self.p)
 
+    @cached_property
+    def customer_base(self) -> DataFrame:
+        """Item rows with the customer's city and state, joined at order grain."""
+        return driver_base(self.raw, self.p, self.raw.customers.select("customer_id", "customer_city", "customer_state"))
+
     @cached_property
     def order_base(self) -> DataFrame:
         return driver_orders(self.raw, self.p)
@@ -227,8 +232,7 @@ def _time_parts(j: Job):
 
 
 def _analytic_base(j: Job):
-    b = j.base.drop("customer_unique_id").join(j.raw.customers, "customer_id", "left")
-    return b.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
+    return j.customer_base.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
                     "order_delivered_customer_date", "order_estimated_delivery_date", "customer_city",
                     "customer_state", "order_item_id", "product_id", "seller_id", "price", "freight_value",
                     "valor_total_item", "ano_mes", "tempo_entrega_dias", "prazo_estimado_dias",
@@ -246,11 +250,14 @@ def _sales_base(j: Job):
 
 def _api_base(j: Job):
     """Fact with customer state, NULL states dropped, money NULL -> 0."""
-    c = j.customers.select("id_cliente", "estado_cliente").where(F.col("estado_cliente").isNotNull())
-    return j.sales.join(c, "id_cliente", "inner").select(
-        "id_pedido", "id_item_pedido", "data", "estado_cliente",
+    per = j.p.period
+    b = j.customer_base.withColumn("data", F.to_date("order_purchase_timestamp"))
+    b = b.where(F.col("data").between(F.lit(per.start), F.lit(per.end)) & F.col("customer_state").isNotNull())
+    return b.select(
+        F.col("order_id").alias("id_pedido"), F.col("order_item_id").alias("id_item_pedido"), "data",
+        F.col("customer_state").alias("estado_cliente"),
         F.coalesce("valor_total_item", F.lit(0).cast("decimal(38,4)")).alias("valor_total_item"),
-        F.coalesce("valor_frete", F.lit(0).cast("decimal(38,4)")).alias("valor_frete"))
+        F.coalesce("freight_value", F.lit(0).cast("decimal(38,4)")).alias("valor_frete"))
 
 
 def _orders_dedup(j: Job):

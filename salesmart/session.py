@@ -13,25 +13,28 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def session_conf(shuffle_partitions: int = 8) -> dict[str, str]:
-    return {
+def session_conf(shuffle_partitions: int | None = None) -> dict[str, str]:
+    """Settings of the jobs; the number of shuffle partitions is the cluster's own unless one is given."""
+    own = {} if shuffle_partitions is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    return own | {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # split a hot join key even when that costs an extra shuffle downstream
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "true",
     }
 
 
-def get_session(master: str = "local[8]", app: str = "salesmart", shuffle_partitions: int = 8,
-                driver_memory: str = "8g", extra: dict[str, str] | None = None) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app).config("spark.driver.memory", driver_memory)
-    for k, v in {**session_conf(shuffle_partitions), **(extra or {})}.items():
+def get_session(master: str | None = None, app: str = "salesmart", shuffle_partitions: int | None = None,
+                driver_memory: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
+    """A session with the jobs' settings; master, memory and partitions are those of the submit unless given."""
+    b = SparkSession.builder.appName(app)
+    given = {"spark.master": master, "spark.driver.memory": driver_memory}
+    for k, v in {**{k: v for k, v in given.items() if v}, **session_conf(shuffle_partitions), **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,12 +4,15 @@ full refresh, catalog listing (K1-K7, S9).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesmart.session import shared_path
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Main store (K1). Partition the fact by month so period filters prune files."""
@@ -94,6 +97,10 @@ def assert_unique(df: DataFrame, key: Sequence[str]) -> None:
 
 
 def refresh(df: DataFrame, path: str, key: Sequence[str]) -> None:
-    """Full refresh of a keyed summary table (K7)."""
-    assert_unique(df, key)
-    df.write.mode("overwrite").parquet(path)
+    """Full refresh of a keyed summary table (K7). The rows are stored once in the shared folder, so check and
+    write read them from there: nothing is computed twice, and the old table may be an input."""
+    staged = shared_path(df.sparkSession, f"refresh-{uuid.uuid4().hex}")
+    df.write.parquet(staged)
+    rows = df.sparkSession.read.parquet(staged)
+    assert_unique(rows, key)
+    rows.write.mode("overwrite").parquet(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import item_total, year_month
-from salesmart.operators.cleaning import derive_delivery, derive_values, split_hot_keys
+from salesmart.operators.cleaning import derive_delivery, derive_values, join_attributes, split_hot_keys
 from salesmart.params import Params
 
 PRIORITY_DAYS = 365  # promised days per priority step (1-URGENT .. 5-LOW)
@@ -162,12 +162,13 @@ def driver_orders(raw: RawTables, params: Params) -> DataFrame:
     return derive_delivery(o, params.delivered_status).withColumn("ano_mes", year_month("order_purchase_timestamp"))
 
 
-def driver_base(raw: RawTables, params: Params) -> DataFrame:
+def driver_base(raw: RawTables, params: Params, customers: DataFrame | None = None) -> DataFrame:
     """Item-level base from the driver tables: orders ⟕ items.
 
     Here the order's customer key already is the unique customer id, so the
     fact needs no customer join; customer attributes live in the customer
-    dimension, joined at order grain where a report needs them.
+    dimension, joined at order grain where a report needs them. ``customers``, where
+    given, are joined to the orders before the items (J1, J2).
 
     The delivered date and the item count come from the per-order aggregate,
     joined 1:1. Orders with items then join the items as an inner join, with
@@ -179,7 +180,8 @@ def driver_base(raw: RawTables, params: Params) -> DataFrame:
     per_order = raw.items.groupBy("order_id").agg(
         F.max("shipping_limit_date").alias("order_delivered_customer_date"),
         F.count("*").alias("_n_itens"))
-    orders = raw.orders.join(per_order, "order_id", "left")
+    orders = raw.orders if customers is None else join_attributes(raw.orders, customers, "customer_id", "order_id")
+    orders = orders.join(per_order, "order_id", "left")
     counts = per_order.select("order_id", F.col("_n_itens").alias("n"))
     matched = split_hot_keys(orders.where(F.col("_n_itens") > 0), raw.items, "order_id", counts, params.hot_rows)
     itemless = orders.where(F.col("_n_itens").isNull()).select(

@@ -119,3 +119,23 @@ def test_narrow_density_adds_few_points(spark):
         assert got[k]["densidade_x1e6"] == pytest.approx(s / (len(xs) * h * math.sqrt(2 * math.pi)) * 1e6, abs=2e-6)
     near = math.ceil(2 * 38.7 * h / step)
     assert near < 200
+
+
+def test_api_base_joins_customers_before_items(static_spark):
+    """Customer attributes come to the orders, so no item row is shuffled by customer."""
+    from salesmart.plans.queries import registry
+
+    p = _plan(registry()["api_base"](static_spark, SF01))
+    lines = p.splitlines()
+    by_customer = [i for i, ln in enumerate(lines) if re.search(r"Exchange hashpartitioning\(customer_id#\d+L?, _part#", ln)]
+    assert len(by_customer) >= 2
+    for i in by_customer:
+        below = next(ln for ln in lines[i:] if "FileScan parquet" in ln)
+        assert "o_orderkey" in below or "c_custkey" in below
+
+
+def test_session_leaves_partitions_to_the_cluster():
+    from salesmart.session import session_conf
+
+    assert "spark.sql.shuffle.partitions" not in session_conf()
+    assert session_conf(8)["spark.sql.shuffle.partitions"] == "8"
