@@ -232,3 +232,24 @@ def test_quality(spark, odd, none):
     assert gam.keep_good(odd, model, 0.0).columns == odd.columns
     empty = gam.train(docs, labels.where("doc_id < 0"))
     assert {r.score for r in gam.score_documents(docs.limit(3), empty).collect()} == {0.5}
+
+
+def test_url_rules_on_odd_rows(spark):
+    """Repeated rows, a null id, a very long url and extra columns of clashing names: judged row by row."""
+    rules = [("block", "net", "/es/"), ("allow", "a.net", "/es/")]
+    urls = [(1, "http://a.net/es/x"), (1, "http://a.net/es/x"), (None, "HTTP://B.Net/es/"), (2, f"http://{'s.' * 200}net/es/{'p' * 50_000}"), (3, "x://net/es")]
+    pages = spark.createDataFrame([(*r, "h", "p", "r", "v", "k") for r in urls], "page_id long, url string, host string, path string, rule string, verdict string, keys string")
+    got = Counter((r.page_id, r.rule, r.verdict) for r in urlfilter.judge(spark, pages, rules).collect())
+    assert got == {(1, "a.net/es/", "allow"): 2, (None, "net/es/", "block"): 1, (2, "net/es/", "block"): 1, (3, None, "allow"): 1}
+
+
+def test_decontamination_with_odd_items(spark):
+    """Repeated items, a null id and extra columns that clash with the documents'."""
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(300)}" for _ in range(60)) + ".\n" + " ".join(f"w{rng.randrange(300)}" for _ in range(8)) + "?"
+    other = " ".join(f"v{rng.randrange(300)}" for _ in range(60))
+    items = spark.createDataFrame([(i, text, 7, "h", "s") for i in (1, 1, None)], "item_id long, text string, doc_id long, hash string, score string")
+    docs = spark.createDataFrame([(1, f"{other} {text} {other}", "i"), (1, f"{other} {text} {other}", "i"), (2, other, "i"), (None, text, "i")], "doc_id long, text string, item_id string")
+    assert {r.doc_id for r in bm25.decontaminate(docs, items).collect()} == {2}
+    assert bm25.decontaminate(docs, items).count() == 1 and bm25.decontaminate(docs, items).columns == docs.columns
+    assert {r.doc_id for r in bm25.contaminated(docs, items).collect()} == {1, None}
