@@ -253,3 +253,18 @@ def test_decontamination_with_odd_items(spark):
     assert {r.doc_id for r in bm25.decontaminate(docs, items).collect()} == {2}
     assert bm25.decontaminate(docs, items).count() == 1 and bm25.decontaminate(docs, items).columns == docs.columns
     assert {r.doc_id for r in bm25.contaminated(docs, items).collect()} == {1, None}
+
+
+def test_quality_with_odd_labels(spark):
+    """Null and repeated labels and extra columns that clash with the documents' change no score's range or count."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    odd_labels = labels.unionByName(labels.limit(20)).unionByName(spark.createDataFrame([(None, 1), (0, None), (10**12, 1)], labels.schema))
+    odd_labels = odd_labels.withColumns({"text": F.lit("t"), "score": F.lit("s"), "source": F.lit(1), "held_out": F.lit("x")})
+    got = gam.score_documents(docs, gam.train(docs, odd_labels)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    # labels of held-out rows change nothing
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")).cast(labels.schema["quality"].dataType))
+    plain = {r.doc_id: r.score for r in gam.score_documents(docs, gam.train(docs, labels)).collect()}
+    assert {r.doc_id: r.score for r in gam.score_documents(docs, gam.train(docs, turned)).collect()} == plain
