@@ -29,9 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the least doc_id (of rows that share
-    it, one). Documents without words stay all, but for rows equal in doc_id and text."""
-    found = minhash.near_duplicates(docs)
+    """One document of each group of near copies (0.8 or more of their shingles of five words in common)
+    stays: the one of the least doc_id (of rows that share it, one). Documents without words stay all, but for rows equal in doc_id and text."""
+    found = minhash.near_duplicates(docs, percent=80)
     best = found.where("kept AND n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
     wordless = found.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
     keep = best.select("best.doc_id", "best.text_hash").unionByName(wordless).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))

@@ -1,8 +1,9 @@
 """Near-duplicates by MinHash bands and sequential Bayesian verification.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents of one set form
-a class (by a 128-bit digest), of which one stands for all. Of ``BANDS * ROWS`` minima eight
-bits each are kept as the signature; classes that agree on all bytes of a band meet in a bucket.
+a class (by a 128-bit digest), of which one stands for all. Of ``HASHES`` minima eight bits each
+are kept as the signature, cut into bands of ``band_rows`` bytes; classes that agree on all bytes
+of a band meet in a bucket.
 In a bucket, signatures are compared batch by batch: with a uniform prior on the similarity,
 a pair goes as soon as the posterior probability of a similarity of ``threshold`` or more falls
 below ``miss``. What is left is verified on the full sets of the texts.
@@ -15,8 +16,12 @@ their texts, and are verified there pair by pair, until their components are one
 leaves its task unless it is a link that joins two components. Buckets of more than ``CELL``
 members are dealt out as cells of two parts each, so no task holds a bucket whole.
 
-With threshold 0.85, a pair of that similarity is missed by all bands with probability
-(1 - 0.85**5)**24 < 1e-6, and pruned with probability ``miss`` at most.
+The bands follow from the threshold: they are the longest, of ``ROWS`` bytes at most, whose
+chance to miss a pair of just that similarity is ``miss`` or less. With ``miss`` 1e-6 that is 24
+bands of 5 at 0.85, (1 - 0.85**5)**24 = 7.7e-7, and 30 bands of 4 at 0.80, (1 - 0.8**4)**30 =
+1.4e-7 (24 of 5 would miss 7.3e-5 there). The bounds on the posterior prune a pair of just the
+threshold with probability 6.9e-6 at 0.85 and 5.7e-6 at 0.80, over all batches; a more similar
+pair is pruned less often.
 
 Defined cases: a null or empty text has no set, links with nothing and is its own component;
 repeated rows are copies; rows of one doc_id with different texts are judged each on its own;
@@ -40,8 +45,7 @@ from salesmart.llm.graph import components
 from salesmart.llm.tokens import slices, text_buffers
 from salesmart.llm.words import shingle_sets
 
-BANDS, ROWS, BATCH, CELL = 24, 5, 20, 2048
-HASHES = BANDS * ROWS
+HASHES, ROWS, BATCH, CELL = 120, 5, 20, 2048
 #: Shingles that are hashed at once.
 CHUNK = 1 << 15
 
@@ -88,18 +92,28 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, percent: int, bounds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def band_rows(percent: int, miss: float) -> int:
+    """The most bytes of a band, up to ``ROWS``, with which all bands of a signature miss a pair of
+    similarity ``percent`` with probability ``miss`` at most."""
+    for rows in range(ROWS, 0, -1):
+        if HASHES % rows == 0 and (1 - (percent / 100) ** rows) ** (HASHES // rows) <= miss:
+            return rows
+    raise ValueError(f"{HASHES} minima cannot find pairs of similarity {percent} % with a miss of {miss}")
+
+
+def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal bytes) of the pairs that no bound prunes, whose sizes allow a link, and that meet in ``band`` first."""
     ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
     i, j = i[ok], j[ok]
     equal = np.zeros(len(i), dtype=np.int64)
-    for b, least in enumerate(bounds):
+    for b, least in enumerate(least_matches(percent / 100, miss)):
         cols = slice(b * BATCH, (b + 1) * BATCH)
         equal = equal + (sig[i, cols] == sig[j, cols]).sum(axis=1)
         ok = equal >= least
         i, j, equal = i[ok], j[ok], equal[ok]
     if band and len(i):
-        before = (sig[i, : band * ROWS] == sig[j, : band * ROWS]).reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
+        rows = band_rows(percent, miss)
+        before = (sig[i, : band * rows] == sig[j, : band * rows]).reshape(len(i), band, rows).all(axis=2).any(axis=1)
         i, j, equal = i[~before], j[~before], equal[~before]
     return i, j, equal
 
@@ -143,17 +157,19 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
     return out.withColumn("node", F.when(F.col("digest").isNotNull(), F.xxhash64("digest")))
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
+def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
     """(key, low, high, part, node, size, sig): members of buckets of two or more, dealt out to cells."""
 
+    bands_of = HASHES // rows
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bands_of, rows).astype(np.uint64)
             key = np.zeros(sig.shape[:2], dtype=np.uint64)
-            for r in range(ROWS):
+            for r in range(rows):
                 key = (key << np.uint64(8)) | sig[:, :, r]
-            key |= np.arange(BANDS, dtype=np.uint64) << np.uint64(8 * ROWS)
-            node = np.repeat(batch.column(0).to_numpy(), BANDS)
+            key |= np.arange(bands_of, dtype=np.uint64) << np.uint64(8 * rows)
+            node = np.repeat(batch.column(0).to_numpy(), bands_of)
             yield pa.record_batch([pa.array(key.ravel().astype(np.int64)), pa.array(node)], names=["key", "node"])
 
     bands = map_arrow(nodes.select("node", "sig"), banded, "key long, node long")
@@ -187,14 +203,14 @@ def _edges(t: pa.Table) -> np.ndarray:
     return (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
 
 
-def _candidates(t: pa.Table, percent: int, bounds: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _candidates(t: pa.Table, percent: int, miss: float, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, equal bytes): rows of surviving pairs, cell by cell. ``whole``: all whose root differs, else a forest."""
     key, low, high, part, size = (t.column(c).to_numpy() for c in ("key", "low", "high", "part", "size"))
     root = t.column("root").to_numpy() if whole else None
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
     at = np.flatnonzero(np.concatenate([[True], _edges(t)]))
     end = np.append(at[1:], len(key))
-    band = key >> (8 * ROWS)
+    band = key >> (8 * band_rows(percent, miss))
     # buckets of two, all of a band at once
     two = at[end - at == 2]
     two = two[low[two] == high[two]]
@@ -202,7 +218,7 @@ def _candidates(t: pa.Table, percent: int, bounds: tuple[int, ...], whole: bool)
         i = two[band[two] == k]
         if whole:
             i = i[root[i] != root[i + 1]]
-        yield survivors(sig, size, i, i + 1, int(k), percent, bounds)
+        yield survivors(sig, size, i, i + 1, int(k), percent, miss)
     for x, y in zip(at.tolist(), end.tolist()):
         if y - x < 2 or y - x == 2 and low[x] == high[x]:
             continue
@@ -213,7 +229,7 @@ def _candidates(t: pa.Table, percent: int, bounds: tuple[int, ...], whole: bool)
             ok = i < j if low[x] == high[x] else (part[i] == low[x]) & (part[j] == high[x])
             if whole:
                 ok &= root[i] != root[j]
-            found.append(survivors(sig, size, i[ok], j[ok], int(band[x]), percent, bounds))
+            found.append(survivors(sig, size, i[ok], j[ok], int(band[x]), percent, miss))
         i, j, equal = (np.concatenate(f) for f in zip(*found))
         if not whole:
             take = forest(y - x, i - x, j - x, equal)
@@ -229,10 +245,9 @@ def _first_pairs(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
     """(a, b): a maximum spanning forest of each cell."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = least_matches(percent / 100, miss)
         for t in _cells(batches):
             node = t.column("node").to_numpy()
-            for i, j, _ in _candidates(t, percent, bounds, False):
+            for i, j, _ in _candidates(t, percent, miss, False):
                 yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     return map_arrow(_dealt(buckets), paired, "a long, b long")
@@ -242,10 +257,9 @@ def _open_members(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The rows of ``buckets`` (with root) that have a surviving pair with another component."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = least_matches(percent / 100, miss)
         for t in _cells(batches):
             use = np.zeros(len(t), dtype=bool)
-            for i, j, _ in _candidates(t, percent, bounds, True):
+            for i, j, _ in _candidates(t, percent, miss, True):
                 use[i] = use[j] = True
             yield from t.filter(pa.array(use)).to_batches()
 
@@ -258,7 +272,6 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
     skipped if links found in this task have joined its components already."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = least_matches(percent / 100, miss)
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -277,7 +290,7 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
                     held[row] = shingle_sets(pa.array([text[row].as_py()], pa.string()), size)[0]
                 return held[row]
 
-            for i, j, equal in _candidates(t, percent, bounds, True):
+            for i, j, equal in _candidates(t, percent, miss, True):
                 for k in np.argsort(-equal, kind="stable").tolist():
                     x, y = int(i[k]), int(j[k])
                     rx, ry = top(root[x]), top(root[y])
@@ -324,7 +337,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size
     rows = stored(_sign(docs, size), "signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     nodes = stored(nodes, "set-classes")
-    buckets = stored(_buckets(nodes), "buckets")
+    buckets = stored(_buckets(nodes, band_rows(percent, miss)), "buckets")
     pairs = stored(_first_pairs(buckets, percent, miss), "first-pairs").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
     found = texts(docs).select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash")

@@ -1,10 +1,26 @@
 """run() against the stages' plain counterparts on a small table."""
 
+import re
+
 import corpus_pipeline
 from salesmart.llm import minhash
 from salesmart.llm.common import table
 
 SF = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[ \t-\r]+")
+
+
+def words(text):
+    return [w for w in SPACE.split(low(text)) if w]
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def shingles(text, size=5):
+    w = words(text)
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
 def test_stages_and_run(spark):
@@ -40,3 +56,23 @@ def test_pipeline_on_odd_rows(spark, odd, none):
         n = out.count()
         assert 0 < n <= rows.count()
         assert stage(spark, rows.where("doc_id = -1"), SF).count() == 0
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a else 0.0
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    """Of pairs of similarity 0.80 to 0.85 one document goes; of pairs just below, none."""
+    rows, sets = {}, {}
+    for k, at in enumerate([(50, 58), (50, 60), (40, 55), (30, 50, 70), (20, 40, 60)]):
+        base = [f"p{k}w{i}" for i in range(103)]
+        near = [f"{w}x" if i in at else w for i, w in enumerate(base)]
+        for d, w in ((2 * k, base), (2 * k + 1, near)):
+            rows[d], sets[d] = " ".join(w), shingles(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    like = {d: jaccard(sets[d], sets[d + 1]) for d in range(0, 10, 2)}
+    assert sum(0.8 <= x < 0.85 for x in like.values()) == 3 and sum(0.7 < x < 0.8 for x in like.values()) == 2
+    assert kept == {*like, *(d + 1 for d, x in like.items() if x < 0.8)}
+    assert [minhash.band_rows(p, 1e-6) for p in (85, 80)] == [5, 4]
