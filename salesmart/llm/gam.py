@@ -72,8 +72,9 @@ def text_features(col: pa.Array) -> np.ndarray:
         distinct = np.bincount(whose, minlength=n)
         top = np.zeros(n)
         np.maximum.at(top, whose, times)
-        same = (code[1:] == code[:-1]) & (of[1:] == of[:-1]) if len(code) else np.zeros(0, bool)
-        pair = np.sort((of[1:] * (1 << 40)) ^ (code[1:].astype(np.int64) * 1000003 + code[:-1]) & ((1 << 40) - 1)) if len(code) > 1 else np.zeros(0, np.int64)
+        within = of[1:] == of[:-1]  # of two neighbouring words, whether they are of one text
+        same = (code[1:] == code[:-1]) & within if len(code) else np.zeros(0, bool)
+        pair = np.sort(((of[1:] * (1 << 40)) ^ (code[1:].astype(np.int64) * 1000003 + code[:-1]) & ((1 << 40) - 1))[within]) if len(code) > 1 else np.zeros(0, np.int64)
         fresh = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         pairs = np.bincount(np.clip(fresh >> 40, 0, n - 1), minlength=n) if len(pair) else np.zeros(n)
         marks = count[:, 5] + count[:, 6] + count[:, 7]

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,15 @@ def test_quality_with_odd_labels(spark):
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")).cast(labels.schema["quality"].dataType))
     plain = {r.doc_id: r.score for r in gam.score_documents(docs, gam.train(docs, labels)).collect()}
     assert {r.doc_id: r.score for r in gam.score_documents(docs, gam.train(docs, turned)).collect()} == plain
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    """A text alone, first and last of a batch has the same features; word_pairs counts pairs within the text."""
+    texts = ["one", "", "one two three four five six seven eight nine ten", "one", None, "a b A b a", "ten one"]
+    at = gam.FEATURES.index("word_pairs")
+    for order in (texts, texts[::-1]):
+        got = gam.text_features(pa.array(order, pa.string()))
+        for row, text in zip(got, order):
+            assert row.tolist() == gam.text_features(pa.array([text], pa.string()))[0].tolist()
+            w = words(text)
+            assert row[at] == len(set(zip(w, w[1:]))) / max(1, len(w))
