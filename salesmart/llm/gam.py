@@ -8,7 +8,8 @@ shallow trees that cut both features. A score is the sum of one entry of each ta
 
 Features are taken from bytes and words of the whole text; columns other than the text are never
 read for them. Training uses at most ``max_rows`` labelled documents, those of the least hash of
-their doc_id, so the rows that come to the driver are bounded; the model is a few kilobytes.
+their doc_id, so the rows that come to the driver are bounded; the model is a few kilobytes. Rows
+that share a doc_id are one document, with the mean of their features.
 
 Defined cases: a null or empty text has zeros for all features and gets the score that follows;
 labels that are null do not count, several labels of one document are averaged (1 from one half
@@ -194,6 +195,11 @@ def held_out(doc_id, remainder: int = 1, of: int = 3):
     return F.coalesce(F.crc32(doc_id.cast("string")) % of == remainder, F.lit(False))
 
 
+def _mean(x):
+    """The mean, the same in whatever order rows are added up; of equal values, the value itself."""
+    return F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x.cast("decimal(28,15)")).cast("double"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) -> Model:
     """Learns from labelled documents that are not held out, ``max_rows`` of them at most."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
@@ -208,8 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **how) ->
             x = text_features(batch.column(1))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    # of rows that share a doc_id, max_rows at most come to the driver as well
-    got = map_arrow(rows, measured, "doc_id long, quality int, x array<double>").orderBy("doc_id", "x").limit(max_rows).collect()
+    every = map_arrow(rows, measured, "doc_id long, quality int, x array<double>")
+    # rows that share a doc_id become one: so max_rows at most come to the driver, and no chosen document goes
+    got = every.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.array(*[_mean(F.col("x")[k]) for k in range(len(FEATURES))]).alias("x")).orderBy("doc_id").collect()
     return fit(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([float(r.quality) for r in got]), **how)
 
 

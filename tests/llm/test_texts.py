@@ -281,3 +281,20 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
             assert row.tolist() == gam.text_features(pa.array([text], pa.string()))[0].tolist()
             w = words(text)
             assert row[at] == len(set(zip(w, w[1:]))) / max(1, len(w))
+
+
+def test_quality_learns_from_every_chosen_document(spark):
+    """Repeated rows of one doc_id take no other document's place: the model is that of the rows once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    first = labels.where(~gam.held_out(F.col("doc_id"))).join(docs, "doc_id").agg(F.min("doc_id")).first()[0]
+    copies = docs.where(F.col("doc_id") == first).crossJoin(spark.range(60)).select("doc_id", "text")
+    plain, skewed = (gam.train(d, labels, max_rows=40) for d in (docs, docs.unionByName(copies)))
+    assert len(plain.tables) == len(gam.FEATURES)
+    assert skewed.base == plain.base and all((a == b).all() for a, b in zip(skewed.tables, plain.tables)) and len(skewed.tables) == len(plain.tables)
+    twice = gam.train(docs.unionByName(docs), labels, max_rows=40)
+    assert twice.base == plain.base and all((a == b).all() for a, b in zip(twice.edges, plain.edges))
+    # different texts of one doc_id: the mean of their features
+    two = spark.createDataFrame([(first, "one two"), (first, "three FOUR!"), (first, "five")], docs.schema)
+    one = spark.createDataFrame([(first, 1)], labels.schema)
+    assert gam.train(two, one).base > 0
