@@ -4,7 +4,12 @@ Documents are dealt out by ranges of doc_id, so shards follow each other in asce
 order. A task encodes its documents, fills shards of about ``shard_ids`` ids and
 compresses each: the most frequent pairs of neighbouring symbols of a shard become new
 symbols (nonterminals), again and again. A round takes many pairs at once; where chosen
-pairs overlap, every second one of a run is replaced. A shard holds its rules, the
+pairs overlap, every second one of a run is replaced. The rounds go on as long as a rule saves
+bytes: a rule takes 8 bytes (two symbols and its length; 12 with symbols of 32 bits) and each use
+saves a symbol, so pairs with 5 uses (4) or more are replaced, until there are none. Symbols have
+16 bits as long as 4096 nonterminals fit beside the vocabulary, else 32; with 16, the work also ends
+when all are in use (16,128 beside 49,408 ids), as wider symbols cost more than further rules
+save (README). A shard holds its rules, the
 expansion length of every rule, the remaining symbols, the position in ids of every
 ``STEP``-th symbol, and its documents' ids and lengths. So any range of ids is decoded
 from the symbols around it alone.
@@ -42,14 +47,23 @@ STEP = 4096
 SHARDS = "part int, seq int, base long, n_docs long, n_ids long, payload binary"
 #: Places of the table in which a round looks chosen pairs up.
 SLOTS_LOG2 = 18
+#: Up to so many pairs of a round are chosen so that none overlap.
+FEW = 512
+
+
+def _nth(at: np.ndarray) -> np.ndarray:
+    """For each of ascending places, how many right before it follow each other without a gap."""
+    head = np.concatenate([[True], np.diff(at) != 1])[: len(at)]
+    return np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
 
 
 def _count_pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair at each place, distinct pairs, how often each)."""
+    """(pair at each place, distinct pairs, how often each; in a run of one symbol, every second place counts)."""
     wide = seq.dtype.itemsize * 2
     kind = np.dtype(f"u{wide}")
     pairs = (seq[:-1].astype(kind) << kind.type(wide * 4)) | seq[1:]
-    s = np.sort(pairs)
+    again = np.flatnonzero(pairs[1:] == pairs[:-1]) + 1
+    s = np.sort(np.delete(pairs, again[_nth(again) % 2 == 0]))
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     return pairs, s[at], np.diff(np.append(at, len(s)))
 
@@ -58,15 +72,27 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = 8, per_round: int = 4096, least: int = 8) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """(rules, rules of each round, remaining symbols); nonterminals count up from ``first``.
-    A round ends the work if no pair occurs ``least`` times or symbols run out."""
+def _apart(pairs: np.ndarray, half: int) -> np.ndarray:
+    """The pairs, in their order, that can overlap none taken before: so each keeps all its uses."""
+    lefts, rights, out = set(), set(), []
+    for k, p in enumerate(pairs.tolist()):
+        a, b = p >> half, p & ((1 << half) - 1)
+        if a not in rights and b not in lefts:
+            lefts.add(a)
+            rights.add(b)
+            out.append(k)
+    return pairs[out]
+
+
+def compress(ids: np.ndarray, first: int, per_round: int = 4096) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(rules, rules of each round, remaining symbols); nonterminals count up from ``first``. The work
+    ends when no rule saves bytes any more or no symbol is left."""
     kind = np.uint16 if first + 4096 <= 1 << 16 else np.uint32
-    room = (1 << (8 * np.dtype(kind).itemsize)) - first
+    width = np.dtype(kind).itemsize
+    room = (1 << (8 * width)) - first
+    least = (2 * width + 4) // width + 1  # a rule takes two symbols and a length, each use saves a symbol
     seq, rules, made = ids.astype(kind), [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while room and len(seq) > 1:
         pairs, distinct, times = _count_pairs(seq)
         often = np.flatnonzero(times >= least)
         often = often[np.argsort(-times[often], kind="stable")][: min(per_round, room)]
@@ -75,6 +101,8 @@ def compress(ids: np.ndarray, first: int, rounds: int = 8, per_round: int = 4096
         chosen = distinct[often[np.sort(one)]]
         if not len(chosen):
             break
+        if len(chosen) <= FEW:
+            chosen = _apart(chosen, 8 * width)
         place = np.zeros(1 << SLOTS_LOG2, dtype=np.uint32)
         place[_slot(chosen)] = np.arange(1, len(chosen) + 1)
         found = place[_slot(pairs)]
@@ -83,22 +111,24 @@ def compress(ids: np.ndarray, first: int, rounds: int = 8, per_round: int = 4096
         same = chosen[rank] == pairs[at]
         at, rank = at[same], rank[same]
         # of overlapping places every second one
-        head = np.concatenate([[True], np.diff(at) != 1])
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        nth = _nth(at)
         at, rank = at[nth % 2 == 0], rank[nth % 2 == 0]
-        used = np.flatnonzero(np.bincount(rank, minlength=len(chosen)))
+        # a rule that overlaps left too few uses for waits for a later round
+        uses = np.bincount(rank, minlength=len(chosen))
+        used, ok = np.flatnonzero(uses >= least), uses[rank] >= least
+        if not len(used):
+            per_round = min(per_round, FEW)
+            continue
+        at, rank = at[ok], rank[ok]
         name = np.zeros(len(chosen), dtype=np.int64)
         name[used] = np.arange(len(used)) + first + sum(made)
-        half = np.dtype(kind).itemsize * 8
-        rules.append(np.stack([chosen[used] >> half, chosen[used] & ((1 << half) - 1)], axis=1).astype(kind))
+        rules.append(np.stack([chosen[used] >> (8 * width), chosen[used] & ((1 << (8 * width)) - 1)], axis=1).astype(kind))
         made.append(len(used))
         room -= len(used)
         seq[at] = name[rank]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
         seq = seq[stay]
-        if not room or len(at) < len(seq) // 200:
-            break
     return np.concatenate([np.zeros((0, 2), kind), *rules]), made, seq
 
 

@@ -50,6 +50,23 @@ def test_grammar_round_trip_and_random_access():
     assert (wide.ids() == ids).all() and wide.doc_ids.to_pylist() == [None]
 
 
+@pytest.mark.parametrize("first,least", [(49_408, 5), (65_000, 4)], ids=["16 bits", "32 bits"])
+def test_grammar_goes_on_as_long_as_a_rule_saves_bytes(first, least):
+    """No pair is left that a rule would pay for, and each rule has been worth its bytes."""
+    rng = np.random.default_rng(3)
+    phrases = [rng.integers(0, 9000, rng.integers(2, 12)) for _ in range(900)]
+    ids = np.concatenate([phrases[k] for k in rng.zipf(1.3, 6000) % 900] + [np.full(70, 9001), rng.integers(9100, 40_000, 20_000), *[np.array([9002, 9003, 9100 + k]) for k in range(6)]]).astype(np.uint32)
+    rules, made, seq = repair.compress(ids, first)
+    assert sum(made) == len(rules) < (1 << 16) - 49_408
+    assert repair.Shard(repair.encode_shard(ids, first, [1], np.array([len(ids)]))).ids().tolist() == ids.tolist()
+    left, at, symbols = Counter(), {}, seq.tolist()
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if at.get(pair) != i - 1:  # uses of one pair must not overlap
+            left[pair], at[pair] = left[pair] + 1, i
+    assert max(left.values()) < least
+    assert len(ids) - len(seq) >= least * len(rules)
+
+
 def test_shards_in_doc_order(spark, odd, none):
     got = repair.encode_documents(odd, shard_ids=2000).collect()
     assert len(got) == odd.count()
