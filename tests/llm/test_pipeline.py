@@ -2,9 +2,13 @@
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
-from salesmart.llm import minhash
-from salesmart.llm.common import table
+from salesmart.llm import bm25, gam, minhash
+from salesmart.llm.common import stored, table
+
+from .test_tokens import NAMES, crc_ids, whole
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[ \t-\r]+")
@@ -76,3 +80,68 @@ def test_near_dedup_takes_pairs_from_80_percent(spark):
     assert sum(0.8 <= x < 0.85 for x in like.values()) == 3 and sum(0.7 < x < 0.8 for x in like.values()) == 2
     assert kept == {*like, *(d + 1 for d, x in like.items() if x < 0.8)}
     assert [minhash.band_rows(p, 1e-6) for p in (85, 80)] == [5, 4]
+
+
+def plain_lines(texts, min_chars=40, min_docs=5):
+    holders = {}
+    for d, t in texts.items():
+        for line in t.split("\n"):
+            if len(k := low(line.strip(" \t\n\x0b\x0c\r"))) >= min_chars:
+                holders.setdefault(k, set()).add(d)
+    often = {k: max(ds) for k, ds in holders.items() if len(ds) >= min_docs}
+    return {d: "\n".join(x for x in t.split("\n") if often.get(low(x.strip(" \t\n\x0b\x0c\r")), d) == d) for d, t in texts.items()}
+
+
+def plain_near(texts):
+    sets, up = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root(a) != root(b):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: t for d, t in texts.items() if root(d) == d}
+
+
+def plain_clean(texts, items):
+    def runs(w, n):
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    out = {}
+    for d, t in texts.items():
+        own, found = bm25.item_words(t), False
+        for item in items:
+            halves = [w for x in bm25.question_answer(item) if (w := bm25.item_words(x))]
+            found |= bool(halves) and all(len(r & runs(own, n)) >= 0.8 * len(r) for w in halves for n in [min(5, len(w))] for r in [runs(w, n)])
+        if not found:
+            out[d] = t
+    return out
+
+
+def test_run_against_plain_versions(spark, monkeypatch):
+    """The rows of each stage of run(), texts included, and the pieces against the library's ids."""
+    seen = {}
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    got = {name: {r.doc_id: r.text for r in out.collect()} for name, out in seen.items() if name != "stage-pack"}
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model, texts = gam.train(docs, labels), {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(texts) == docs.count()
+    items = [r.text or "" for r in table(spark, SF, "benchmark").collect()]
+    steps = {
+        "stage-quality": lambda x: {d: t for d, t in x.items() if model.score(gam.text_features(pa.array([t], pa.string())))[0] >= 0.5},
+        "stage-line_dedup": plain_lines, "stage-near_dedup": plain_near, "stage-decontaminate": lambda x: plain_clean(x, items),
+    }
+    for name, step in steps.items():
+        was, texts = texts, step(texts)
+        assert got[name] == texts, name
+        assert texts != was, f"{name} has nothing to do"
+    assert {r.doc_id for r in pieces} == set(texts)
+    for d, t in texts.items():
+        ids, at = [*whole(NAMES[1], t), 0], 0
+        for r in sorted((r for r in pieces if r.doc_id == d), key=lambda r: r.start):
+            assert r.start == at and r.length > 0 and r.doc_tokens == len(ids) and r.ids_crc32 == crc_ids(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
