@@ -48,13 +48,15 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+#: Bytes of text of which the features are taken at once.
+HELD = 1 << 20
 
 
 def text_features(col: pa.Array) -> np.ndarray:
     """(texts, features)."""
     out = np.zeros((len(col), len(FEATURES)))
     col = col.fill_null("")
-    for a, b in slices(text_buffers(col)[1]):
+    for a, b in slices(text_buffers(col)[1], HELD):
         w = Words(col.slice(a, b - a), lower=False)
         n = b - a
         size = np.diff(w.offsets).astype(float)
@@ -241,6 +243,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.score(text_features(batch.column(at).cast(pa.string()))) >= least))
+        pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
     ship(docs.sparkSession)
     return docs.mapInArrow(kept, docs.schema)

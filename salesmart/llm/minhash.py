@@ -46,8 +46,8 @@ from salesmart.llm.tokens import slices, text_buffers
 from salesmart.llm.words import shingle_sets
 
 HASHES, ROWS, BATCH, CELL = 120, 5, 20, 2048
-#: Shingles that are hashed at once.
-CHUNK = 1 << 15
+#: Shingles that are hashed at once; bytes of text of which the sets are held at once.
+CHUNK, HELD = 1 << 15, 1 << 20
 
 
 def _factors() -> np.ndarray:
@@ -144,13 +144,14 @@ def _sign(docs: DataFrame, size: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(2).fill_null("")
-            for a, b in slices(text_buffers(col)[1]):
+            for a, b in slices(text_buffers(col)[1], HELD):
                 sets, offsets = shingle_sets(col.slice(a, b - a), size)
                 sig, data = signatures(sets, offsets), memoryview(sets).cast("B") if len(sets) else b""
                 cuts = (offsets * 8).tolist()
                 digest = [hashlib.blake2b(data[x:y], digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:])]
                 cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.diff(offsets)), pa.array([s.tobytes() for s in sig], pa.binary())]
                 yield pa.record_batch(cols, names=["doc_id", "text_hash", "digest", "n_shingles", "sig"])
+        pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     out = map_arrow(rows, signed, "doc_id long, text_hash long, digest binary, n_shingles long, sig binary")
@@ -319,11 +320,12 @@ def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) ->
             ok = np.zeros(batch.num_rows, dtype=bool)
             one, two = batch.column(2), batch.column(3)
             size_of = text_buffers(one)[1] + text_buffers(two)[1]
-            for x, y in slices(size_of):
+            for x, y in slices(size_of, HELD):
                 (s, so), (t, to) = shingle_sets(one.slice(x, y - x), size), shingle_sets(two.slice(x, y - x), size)
                 for k in range(y - x):
                     ok[x + k] = similar(s[so[k] : so[k + 1]], t[to[k] : to[k + 1]], percent)
             yield batch.select([0, 1]).filter(pa.array(ok))
+        pa.default_memory_pool().release_unused()
 
     one = content.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = content.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
