@@ -17,7 +17,8 @@ in it (a shorter question or answer: its whole sequence). The answer of an item
 the question all before; an item of one sentence is all question.
 
 Items are dealt out to shards of at most ``SHARD_CHARS`` characters; a shard's index is what a task
-gets, so its size is bounded, and each shard is one pass over the documents.
+gets, and each shard is one pass over the documents. All shards' indexes are built and held on the
+driver, and repeated items fall into one shard, so neither is bounded for a large benchmark.
 
 Defined cases: null or empty texts and items without words match nothing; repeated rows and items
 are judged each on its own; an empty table gives no rows. Only doc_id and text (item_id and
@@ -41,6 +42,8 @@ from salesmart.llm.words import Words, distinct, mix
 
 K1, B, PART, BLOCK, LIGHT, SIZE = 1.2, 0.75, 64, 4, 0.4, 5
 SHARD_CHARS = 32 << 20
+#: Bytes of text that are searched at once.
+HELD = 1 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -189,7 +192,7 @@ def search_texts(col: pa.Array, index: Index, threshold: float, overlap: float)
     from pandas.util import hash_array
 
     col = col.fill_null("")
-    for a, b in slices(text_buffers(col)[1]):
+    for a, b in slices(text_buffers(col)[1], HELD):
         w = Words(col.slice(a, b - a))
         if not len(w.code) or not len(index.terms):
             continue
@@ -283,6 +286,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, ove
                 for row, *_ in search_texts(col, index, threshold, overlap):
                     ok[row] = False
                 yield batch.filter(pa.array(ok))
+            pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
         return kept
 
