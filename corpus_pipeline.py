@@ -24,8 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat go; all documents stay, ``n_chars`` follows the text."""
-    out = linededup.drop_lines(docs)
-    return out.select(*[F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    # the row travels as one column, so no name of it meets one that the operator adds
+    out = linededup.drop_lines(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__whole")))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return out.select(*[new[c].cast(t).alias(c) if c in new else F.col("__whole")[c].alias(c) for c, t in docs.dtypes])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
