@@ -11,8 +11,8 @@ def odd(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, ODD[3]), (3, "other text of a taken id"), (None, "no id"), (None, None)]
     rows += [(100 + i, f"x{i}\nthe same line of text that is longer than forty characters \n\nend") for i in range(6)]
     rows += [(200, " ".join(f"w{i}" for i in range(30_000)))]
-    schema = "doc_id long, text string, hash string, key long, n_tokens string, part int, node string, drops int, score string, block string"
-    return spark.createDataFrame([(*r, "h", 1, "n", 2, "x", 3, "s", "b") for r in rows], schema).repartition(3)
+    schema = "doc_id long, text string, hash string, key long, n_tokens string, part int, node string, drops int, score string, block string, n_lines string, n_dropped string, lang string, tree string, w1 string, n int"
+    return spark.createDataFrame([(*r, "h", 1, "n", 2, "x", 3, "s", "b", "mine", "z", None if k % 3 == 0 else "ab"[k % 2], "t", "w", 4) for k, r in enumerate(rows)], schema).repartition(3)
 
 
 @pytest.fixture(scope="session")

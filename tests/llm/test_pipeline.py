@@ -43,7 +43,7 @@ def test_stages_and_run(spark):
         elif name == "line_dedup":
             assert set(now) == set(was) and all(r.n_chars == len(r.text) for r in now.values())
         elif name == "near_dedup":
-            groups = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+            groups = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=80).collect()}
             assert set(now) == {d for d, c in groups.items() if c == d}
         else:
             assert set(was) - set(now) == {d for d, r in was.items() if any(" ".join(i.split()) in " ".join(r.text.split()) for i in items)}
@@ -53,12 +53,14 @@ def test_stages_and_run(spark):
 
 
 def test_pipeline_on_odd_rows(spark, odd, none):
-    rows = odd.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars", "key", "hash")
+    rows = odd.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS long) AS n_chars", "key", "hash", "n_lines", "n_dropped")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, rows, SF)
         assert out.columns == rows.columns
         n = out.count()
         assert 0 < n <= rows.count()
+        if name != "quality":  # a document that stays keeps what the user's columns hold
+            assert {(r.key, r.hash, r.n_lines, r.n_dropped) for r in out.collect()} == {(1, "h", "mine", "z")}
         assert stage(spark, rows.where("doc_id = -1"), SF).count() == 0
 
 
