@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesmart.llm import bm25, gam, lengths, linededup, minhash, packing, ppm, repair, streamdedup, urlfilter
+from salesmart.llm import bm25, gam, lengths, linededup, merkle, minhash, packing, ppm, repair, streamdedup, urlfilter
 from salesmart.llm.common import table
 
 #: (verdict, host, path) of the rules that op7 judges by.
@@ -60,8 +61,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("lang", "idx", "siblings")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair, op2_gam, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_repair, op2_gam, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup, op13_merkle)}
 
 
 OP6 = """
@@ -105,5 +111,56 @@ FROM judged GROUP BY doc_id
 """
 
 
+def _counted(column: str) -> str:
+    """A column as a Merkle leaf holds it."""
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _level_of(nodes: str) -> str:
+    return f"list_transform(range(1, len({nodes}) + 1, 2), lambda i: sha256({nodes}[i] || coalesce({nodes}[i + 1], '')))"
+
+
+def _crc32(text: str) -> str:
+    """Of a text of ASCII characters: each byte is added, then eight bits go, one by one."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::UBIGINT, 256, 256, 256, 256, 256, 256, 256, 256]))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {steps}), lambda c, x: CASE WHEN x < 256 THEN xor(c, x) ELSE xor(c >> 1, 3988292384::UBIGINT * (c & 1)) END), 4294967295::UBIGINT)"
+
+
+def _steps(of: str) -> str:
+    """The steps of a proof in order: S and the sibling to the left, P and the one to the right, N for none."""
+    at = f"((({of}.place - 1) >> level) + 1)"
+    return f"list(CASE WHEN {at} % 2 = 0 THEN 'S' || nodes[{at} - 1] WHEN {at} < len(nodes) THEN 'P' || nodes[{at} + 1] ELSE 'N' END ORDER BY level)"
+
+
+OP13 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, sha256({" || ".join(_counted(c) for c in merkle.COLUMNS)}) AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0
+              THEN sha256({" || ".join(_counted("(n_chars + 1)" if c == "n_chars" else c) for c in merkle.COLUMNS)}) END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) AS place FROM leaves),
+levels AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_level_of("nodes")} FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) AS place FROM levels WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_level_of("nodes")} FROM tops WHERE len(nodes) > 1),
+low AS (
+  SELECT p.lang, p.place, {_steps("p")} AS steps
+  FROM placed p JOIN levels l ON p.lang IS NOT DISTINCT FROM l.lang WHERE len(l.nodes) > 1 GROUP BY p.lang, p.place),
+high AS (SELECT s.place, {_steps("s")} AS steps FROM subroots s JOIN tops t ON len(t.nodes) > 1 GROUP BY s.place),
+proofs AS (
+  SELECT p.*, s.subroot, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root,
+         list_concat(coalesce(low.steps, []::VARCHAR[]), coalesce(high.steps, []::VARCHAR[])) AS steps
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN low ON p.lang IS NOT DISTINCT FROM low.lang AND p.place = low.place LEFT JOIN high ON s.place = high.place),
+folds AS (
+  SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), steps), lambda acc, x:
+    sha256(CASE x[1] WHEN 'S' THEN substr(x, 2) || acc WHEN 'P' THEN acc || substr(x, 2) ELSE acc END)) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: substr(x, 2)), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM folds
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op6_stream_dedup": OP6, "op7_url_filter": OP7, "op10_line_dedup": OP10}
+    return {"op6_stream_dedup": OP6, "op7_url_filter": OP7, "op10_line_dedup": OP10, "op13_merkle": OP13}
