@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.llm import bm25, gam, lengths, linededup, merkle, minhash, packing, ppm, repair, streamdedup, urlfilter
+from salesmart.llm import bm25, collocations, gam, langid, lengths, linededup, merkle, minhash, packing, ppm, repair, streamdedup, urlfilter
 from salesmart.llm.common import table
 
 #: (verdict, host, path) of the rules that op7 judges by.
@@ -61,13 +61,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("lang", "idx", "siblings")
 
 
+QUERIES = (
+    op1_repair, op2_gam, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup,
+    op11_collocations, op12_langid, op13_merkle,
+)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair, op2_gam, op3_packing, op4_lengths, op5_ppm, op6_stream_dedup, op7_url_filter, op8_minhash, op9_bm25, op10_line_dedup, op13_merkle)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP6 = """
@@ -111,6 +126,33 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+f1 AS (SELECT lang, w[i] AS p, count(*) AS f FROM spots GROUP BY ALL),
+f2 AS (SELECT lang, w[i] || ' ' || w[i + 1] AS p, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM spots WHERE i < len(w) GROUP BY ALL),
+f3 AS (SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS p, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM spots WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, x || ' ' || y AS p, f FROM f3 UNION ALL SELECT lang, y || ' ' || z, f FROM f3) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.p AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.p = c.x JOIN f1 r ON r.lang = c.lang AND r.p = c.y LEFT JOIN longer g ON g.lang = c.lang AND g.p = c.p
+  WHERE c.f >= 10 AND (g.f IS NULL OR 100 * g.f < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.p, c.f, 1, l.f, r.f FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.p = c.x JOIN f2 r ON r.lang = c.lang AND r.p = c.y || ' ' || c.z
+  UNION ALL
+  SELECT c.lang, c.p, c.f, 2, l.f, r.f FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.p = c.x || ' ' || c.y JOIN f1 r ON r.lang = c.lang AND r.p = c.z),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n::BIGINT AS n, r.score
+FROM ranked r JOIN (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang) n ON n.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 def _counted(column: str) -> str:
     """A column as a Merkle leaf holds it."""
     return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
@@ -163,4 +205,4 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps,
 
 
 def oracle() -> dict[str, str]:
-    return {"op6_stream_dedup": OP6, "op7_url_filter": OP7, "op10_line_dedup": OP10, "op13_merkle": OP13}
+    return {"op6_stream_dedup": OP6, "op7_url_filter": OP7, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_merkle": OP13}

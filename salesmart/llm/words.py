@@ -12,13 +12,14 @@ LOWER[65:91] += 32
 
 
 class Words:
-    """The words of some texts: ``code`` (index into ``names``) of each, ``count`` of each text."""
+    """The words of some texts: ``code`` (index into ``names``) of each, ``count`` of each text.
+    ``space`` tells which bytes are no part of a word."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, space: np.ndarray = SPACE):
         self.data, self.offsets = text_buffers(texts.fill_null(""))
         if lower:
             self.data = LOWER[self.data]
-        space = SPACE[self.data]
+        space = space[self.data]
         cut = np.zeros(len(self.data) + 1, dtype=bool)
         cut[:-1] = ~space
         cut[1:-1] &= space[:-1]  # a word begins after white space
