@@ -3,7 +3,7 @@
 Every word starts one window: itself and the words that follow it in its piece of text (its lead
 columns), three in all, padded with empty words where the piece ends. Only these longest windows are
 counted: each task counts its own, Spark's ROLLUP adds them up to the counts of windows, of their
-first two words, of their first word, and of all words of the language. A phrase of any length is the
+first two words and of their first word; the words' counts make up the language's. A phrase of any length is the
 beginning of as many windows as it has occurrences, so no shorter phrase is ever counted on its own.
 
 Windows are counted in ``slices``, those of one first pair in the same slice, so the disk that the
@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +42,29 @@ BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 APART = BREAK.copy()
 APART[[32, 9]] = True
 #: Bytes of text whose windows a task counts at once.
-HELD = 8 << 20
+HELD = 2 << 20
 #: Parts of a language in the first step of the ranking.
 PARTS = 64
-WINDOWS = "lang string, w1 string, w2 string, w3 string, n long"
+FACTOR = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: ``head`` is the language, a tab and the first word, which holds no tab.
+WINDOWS = "head string, w2 string, w3 string, n long"
+
+
+def spread(names: pa.Array) -> np.ndarray:
+    """A number for each word, the same everywhere, to deal words by; words that share one are dealt alike."""
+    data, offsets = text_buffers(names)
+    if not len(data):
+        return np.zeros(len(names), dtype=np.uint64)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * FACTOR[place & 63], offsets[:-1]))
 
 
 def window_counts(langs: pa.Array, texts: pa.Array, slice_no: int = 0, n_slices: int = 1) -> pa.RecordBatch:
-    """(lang, w1, w2, w3, n): the distinct windows of some texts that fall into a slice; an empty word is padding."""
+    """(head, w2, w3, n): the distinct windows of some texts that fall into a slice; an empty word is padding."""
     w = Words(texts, space=APART)
     of = np.repeat(np.arange(len(texts)), w.count)
     # both grow along the text, so their sum tells the pieces of all texts apart
-    piece = np.cumsum(BREAK[w.data])[w.start] + of if len(w.start) else of
+    piece = np.cumsum(BREAK[w.data], dtype=np.int32)[w.start] + of if len(w.start) else of
     first = w.code.astype(np.int64) + 1
     lead = [first]
     for k in (1, 2):
@@ -62,16 +74,19 @@ def window_counts(langs: pa.Array, texts: pa.Array, slice_no: int = 0, n_slices:
     coded = langs.dictionary_encode()
     lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of]
     if n_slices > 1:
-        hashes = np.concatenate([np.zeros(1, np.uint64), w.hashes()])
+        hashes = np.concatenate([np.zeros(1, np.uint64), spread(w.names)])
         mine = mix(hashes[lead[0]] * np.uint64(3) + hashes[lead[1]]) % np.uint64(n_slices) == slice_no
         lang, lead = lang[mine], [x[mine] for x in lead]
     base = len(w.names) + 1
     pair, pair_of = np.unique((lang * base + lead[0]) * base + lead[1], return_inverse=True)
     window, n = np.unique(pair_of * base + lead[2], return_counts=True)
     of_window = pair[window // base]
+    # ``pair`` ascends, so its heads stand together
+    head = of_window // base
+    new = np.append(True, head[1:] != head[:-1]) if len(head) else np.zeros(0, bool)
     names = pa.concat_arrays([pa.array([""], pa.large_string()), w.names]).cast(pa.string())
-    at = [of_window // base % base, of_window % base, window % base]
-    return pa.record_batch([coded.dictionary.cast(pa.string()).take(pa.array(of_window // base // base)), *[names.take(pa.array(x)) for x in at], pa.array(n)], names=["lang", "w1", "w2", "w3", "n"])
+    heads = pc.binary_join_element_wise(coded.dictionary.cast(pa.string()).take(pa.array(head[new] // base)), names.take(pa.array(head[new] % base)), "\t")
+    return pa.record_batch([heads.take(pa.array(np.cumsum(new) - 1)), names.take(pa.array(of_window % base)), names.take(pa.array(window % base)), pa.array(n)], names=["head", "w2", "w3", "n"])
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 10, n_slices: int = 3) -> DataFrame:
@@ -94,19 +109,21 @@ def phrase_counts(docs: DataFrame, min_count: int = 10, n_slices: int = 3) -> Da
                 pa.default_memory_pool().release_unused()
 
             windows = map_arrow(rows, counted, WINDOWS)
-            sums = spark.sql(
-                "SELECT lang, w1, w2, w3, cast(3 - length(replace(bin(grouping_id()), '0', '')) AS int) AS size, sum(n) AS f FROM {windows} GROUP BY lang, ROLLUP (w1, w2, w3)", windows=windows
-            )
+            sums = spark.sql("SELECT head, w2, w3, cast(3 - bit_count(grouping_id()) AS int) AS size, sum(n) AS f FROM {windows} GROUP BY head, ROLLUP (w2, w3)", windows=windows)
             last = F.when(F.col("size") == 3, F.col("w3")).otherwise(F.col("w2"))
-            kept = sums.where((F.col("size") < 2) | ((F.col("f") >= min_count) & (last != "")))
-            kept.select("size", "lang", "w1", "w2", "w3", "f").write.parquet(f"{path}/part={k}")
+            kept = sums.where((F.col("size") == 1) | ((F.col("f") >= min_count) & (last != "")))
+            first = F.substring_index("head", "\t", -1)
+            lang = F.expr("left(head, length(head) - length(substring_index(head, '\\t', -1)) - 1)")
+            kept.select("size", lang.alias("lang"), first.alias("w1"), "w2", "w3", "f").write.parquet(f"{path}/part={k}")
     finally:
         spark.conf.set(cleanup, before)
     found = spark.read.schema("size int, lang string, w1 string, w2 string, w3 string, f long").parquet(*[f"{path}/part={k}" for k in range(n_slices)])
-    # a word and a language have a count in every slice; a longer phrase is in one slice alone
-    short = found.where("size < 2").groupBy("size", "lang", "w1").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= min_count))
-    short = short.select("size", "lang", "w1", F.lit(None).cast("string").alias("w2"), F.lit(None).cast("string").alias("w3"), "f")
-    return stored(found.where("size >= 2").unionByName(short), "phrases")
+    # a word has a count in every slice; a longer phrase is in one slice alone
+    words = stored(found.where("size = 1").groupBy("lang", "w1").agg(F.sum("f").alias("f")), "words")
+    none = F.lit(None).cast("string")
+    all_words = words.groupBy("lang").agg(F.sum("f").alias("f")).select(F.lit(0).alias("size"), "lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "f")
+    words = words.where(F.col("f") >= min_count).select(F.lit(1).alias("size"), "lang", "w1", none.alias("w2"), none.alias("w3"), "f")
+    return stored(found.where("size >= 2").unionByName(words).unionByName(all_words), "phrases")
 
 
 def _of(counts: DataFrame, size: int, words: list[str], f: str) -> DataFrame:
