@@ -42,6 +42,8 @@ def update_state(spark: SparkSession, path: str, checkpoint: str, digest: Callab
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # RocksDB would set aside 4 MB of disk for every partition of the state, whatever it holds
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
