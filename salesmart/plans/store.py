@@ -9,10 +9,12 @@ and a lost executor costs a re-read, not a recomputation from the raw tables.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from salesmart.functions.columns import year_month
 from salesmart.operators.mart import Mart
@@ -34,6 +36,39 @@ def load_mart(spark: SparkSession, root: str) -> Mart:
     return Mart(*[spark.read.parquet(os.path.join(root, t)) for t in TABLES])
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def file_marks(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of name, length and time of all files of some inputs, as their file systems list them."""
+    jvm, conf, marks = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for path in paths:
+        files = jvm.org.apache.hadoop.fs.Path(path)
+        listed = files.getFileSystem(conf).listFiles(files, True)
+        while listed.hasNext():
+            f = listed.next()
+            marks.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(marks)).encode()).hexdigest()[:24]
+
+
+def stored_mart(spark: SparkSession, mart: Callable[[], Mart], inputs: list[str]) -> Mart:
+    """The mart of some input files, written once in an application and read by all reports that follow.
+    Files that are new or changed make it another mart."""
+    key = (spark.sparkContext.applicationId, file_marks(spark, inputs))
+    if key not in _STORED:
+        root = shared_path(spark, f"mart-{key[1]}-{uuid.uuid4().hex}")
+        store_mart(mart(), root)
+        _STORED[key] = root
+    return load_mart(spark, _STORED[key])
+
+
+def months_by_calendar(mart: Mart, calendar: Column) -> DataFrame:
+    """Fact rows of the dates that a condition on the time dimension picks, with its columns. The fact is joined on its
+    partition column as well, so Spark reads only the months that the dimension's rows name (dynamic partition pruning)."""
+    dates = mart.dim_tempo.where(calendar)
+    return mart.fato.join(dates, ["ano_mes", "data"])
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and return the stored copy."""
     path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
@@ -47,4 +82,4 @@ def month_filter_prunes(df: DataFrame) -> bool:
     return "PartitionFilters: [" in plan and "ano_mes" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
 
 
-__all__ = ["store_mart", "load_mart", "materialize", "month_filter_prunes"]
+__all__ = ["store_mart", "load_mart", "stored_mart", "months_by_calendar", "materialize", "month_filter_prunes"]
