@@ -10,7 +10,6 @@ Layout:
                 forecast, distributions, profiling, change log, payloads
     sinks/      Parquet/CSV/JDBC writers, snapshot append, full refresh
     plans/      query registry (key -> Spark job) and DuckDB oracle SQL
-    streaming/  no stream operators exist in the reference (see module doc)
 """
 
 from salesmart.params import Period, Thresholds, Params  # noqa: F401

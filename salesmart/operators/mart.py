@@ -18,6 +18,7 @@ from salesmart.functions.columns import month_name, year_month
 from salesmart.operators.cleaning import join_attributes
 from salesmart.params import Period
 
+# The star schema's column names by the raw inputs' names, which results must match.
 FACT_COLUMNS = {
     "order_id": "id_pedido",
     "order_item_id": "id_item_pedido",

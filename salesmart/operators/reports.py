@@ -139,33 +139,37 @@ def orders_by(orders_c: DataFrame, dim, k: int | None = None, name: str | None =
     return top(g, "total_pedidos", key, k)
 
 
-def revenue_by_seller(sales: DataFrame, dim_vendedores: DataFrame, k: int | None = 10) -> DataFrame:
+def revenue_by_seller(sales: DataFrame, dim_vendedores: DataFrame | None, k: int | None = 10) -> DataFrame:
     """Revenue per seller.
 
     Aggregated before the join (one row per seller leaves each task), then
     semi-joined to the seller dimension, which is what the inner join did.
+    Without a dimension every seller that sold counts, as a dimension built
+    from the same sales would have it.
     """
-    g = (sales.groupBy("id_vendedor").agg(F.sum("valor_total_item").alias("receita_total"))
-         .join(dim_vendedores.select("id_vendedor"), "id_vendedor", "left_semi"))
+    g = sales.groupBy("id_vendedor").agg(F.sum("valor_total_item").alias("receita_total")).where(F.col("id_vendedor").isNotNull())
+    if dim_vendedores is not None:
+        g = g.join(dim_vendedores.select("id_vendedor"), "id_vendedor", "left_semi")
     return top(g, "receita_total", "id_vendedor", k)
 
 
-def _by_category(sales: DataFrame, dim_produtos: DataFrame) -> DataFrame:
+def _by_category(sales: DataFrame, dim_produtos: DataFrame, how: str) -> DataFrame:
+    """``how``: inner with a dimension of the products sold; left with all products, a sold one that is not there having no category."""
     per_product = sales.groupBy("id_produto").agg(
-        F.sum("valor_total_item").alias("receita"), F.count("*").alias("itens"))
-    return per_product.join(dim_produtos.select("id_produto", "categoria_produto"), "id_produto", "inner")
+        F.sum("valor_total_item").alias("receita"), F.count("*").alias("itens")).where(F.col("id_produto").isNotNull())
+    return per_product.join(dim_produtos.select("id_produto", "categoria_produto"), "id_produto", how)
 
 
-def revenue_by_category(sales: DataFrame, dim_produtos: DataFrame, k: int | None = 10) -> DataFrame:
+def revenue_by_category(sales: DataFrame, dim_produtos: DataFrame, k: int | None = 10, how: str = "inner") -> DataFrame:
     """Revenue per category, NULL category its own group (A10, T5); pre-aggregated per product."""
-    g = _by_category(sales, dim_produtos).groupBy("categoria_produto").agg(
+    g = _by_category(sales, dim_produtos, how).groupBy("categoria_produto").agg(
         F.sum("receita").alias("receita_total"))
     return top(g, "receita_total", "categoria_produto", k)
 
 
-def items_by_category(sales: DataFrame, dim_produtos: DataFrame, k: int | None = 10) -> DataFrame:
+def items_by_category(sales: DataFrame, dim_produtos: DataFrame, k: int | None = 10, how: str = "inner") -> DataFrame:
     """Items sold per category."""
-    g = _by_category(sales, dim_produtos).groupBy("categoria_produto").agg(
+    g = _by_category(sales, dim_produtos, how).groupBy("categoria_produto").agg(
         F.sum("itens").cast("bigint").alias("total_itens_vendidos"))
     return top(g, "total_itens_vendidos", "categoria_produto", k)
 

@@ -52,6 +52,9 @@ class Params:
     top_k: int = 10
     focus_state: str = "SP"
     hot_rows: int = 5_000_000  # rows of one key above which a join key is salted
+    # the two windows of activity that the change log compares
+    log_old: Period = Period(dt.date(2017, 1, 1), dt.date(2017, 12, 31))
+    log_new: Period = Period(dt.date(2018, 1, 1), dt.date(2018, 8, 31))
 
 
 # Fixed values of the reference's own study: period Jan 2017 - Aug 2018,
@@ -73,4 +76,6 @@ def driver_params() -> Params:
         delivered_status="F",
         top_k=10,
         focus_state="NATION_7",
+        log_old=Period.of("1997-01-01", "1998-12-31"),
+        log_new=Period.of("1999-01-01", "2000-12-31"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesmart.functions.columns import city_normal, safe_double, safe_double_or_zero, safe_timestamp, share_pct
+from salesmart.functions.columns import city_normal, item_total, safe_double, safe_double_or_zero, safe_timestamp, share_pct
 from salesmart.functions.text import YES, brl, int_text
 from salesmart.operators import changelog as G
 from salesmart.operators import cleaning as C
@@ -29,7 +29,7 @@ from salesmart.operators import series as S
 from salesmart.operators import mart as mart_ops
 from salesmart.operators.mart import Mart, sales_base
 from salesmart.operators.orders import order_facts_direct, with_customer
-from salesmart.params import Period, driver_params
+from salesmart.params import Params, Period, driver_params
 from salesmart.sources.tpch import driver_base, driver_orders, raw_tables, raw_text, table
 
 
@@ -60,9 +60,9 @@ def finish(df: DataFrame) -> DataFrame:
 class Job:
     """Lazily built inputs shared by the reports of one run."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params | None = None):
         self.spark, self.sf_dir = spark, sf_dir
-        self.p = driver_params()
+        self.p = params or driver_params()
 
     @cached_property
     def raw(self):
@@ -86,6 +86,25 @@ class Job:
         """Product and seller of the items whose order exists."""
         return self.raw.items.select("order_id", "product_id", "seller_id").join(self.raw.orders.select("order_id"), "order_id", "left_semi")
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """Item rows under the fact's names, of orders that exist; the items are read once."""
+        i = self.raw.items.withColumn("valor_total_item", item_total("price", "freight_value")).join(self.raw.orders.select("order_id"), "order_id", "left_semi")
+        return self._named_items(i)
+
+    @cached_property
+    def period_items(self) -> DataFrame:
+        """Item rows of the period's orders: a plain join on the order, so AQE can split a hot one."""
+        per = self.p.period
+        o = self.raw.orders.where(F.to_date("order_purchase_timestamp").between(F.lit(per.start), F.lit(per.end))).select("order_id")
+        i = self.raw.items.withColumn("valor_total_item", item_total("price", "freight_value"))
+        return self._named_items(i.join(o, "order_id"))
+
+    @staticmethod
+    def _named_items(i: DataFrame) -> DataFrame:
+        return i.select(F.col("order_id").alias("id_pedido"), F.col("order_item_id").alias("id_item_pedido"), F.col("product_id").alias("id_produto"),
+                        F.col("seller_id").alias("id_vendedor"), F.col("price").alias("valor_produto"), F.col("freight_value").alias("valor_frete"), "valor_total_item")
+
     @cached_property
     def customers(self) -> DataFrame:
         # both sides of the joins with it are plain exchanges, so AQE can split a hot customer
@@ -164,10 +183,10 @@ class Job:
     def fit(self) -> DataFrame:
         return M.trend(self.numbered, "receita_mensal")
 
-    def customer_activity(self, start: str, end: str) -> DataFrame:
-        """Snapshot of customers active in [start, end]: orders, first and last order date."""
+    def customer_activity(self, window: Period) -> DataFrame:
+        """Snapshot of customers active in a window: orders, first and last order date."""
         o = self.raw.orders.select(F.col("customer_id").alias("id_cliente"), F.to_date("order_purchase_timestamp").alias("data"))
-        o = o.where(F.col("data").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        o = o.where(F.col("data").between(F.lit(window.start), F.lit(window.end)))
         return (o.where(F.col("id_cliente").isNotNull()).groupBy("id_cliente")
                 .agg(F.count("*").alias("n_pedidos"),
                      F.date_format(F.min("data"), "yyyy-MM-dd").alias("primeiro_pedido"),
@@ -175,11 +194,11 @@ class Job:
 
     @cached_property
     def activity_old(self) -> DataFrame:
-        return self.customer_activity("1997-01-01", "1998-12-31")
+        return self.customer_activity(self.p.log_old)
 
     @cached_property
     def activity_new(self) -> DataFrame:
-        return self.customer_activity("1999-01-01", "2000-12-31")
+        return self.customer_activity(self.p.log_new)
 
     @cached_property
     def change_log(self) -> DataFrame:
@@ -217,12 +236,12 @@ def _late_flag(j: Job):
 
 
 def _item_value(j: Job):
-    return j.fato.where(F.col("id_item_pedido").isNotNull()).select(
+    return j.items.where(F.col("id_item_pedido").isNotNull()).select(
         "id_pedido", "id_item_pedido", "valor_produto", "valor_frete", "valor_total_item")
 
 
 def _item_freight_pct(j: Job):
-    return j.fato.where(F.col("id_item_pedido").isNotNull()).select(
+    return j.items.where(F.col("id_item_pedido").isNotNull()).select(
         "id_pedido", "id_item_pedido",
         F.round(share_pct("valor_frete", "valor_produto"), 6).alias("peso_frete_pct"))
 
@@ -379,15 +398,15 @@ def _revenue_by_city(j: Job):
 
 
 def _revenue_by_seller(j: Job):
-    return R.revenue_by_seller(j.sales, j.dim_vendedores, j.p.top_k)
+    return R.revenue_by_seller(j.period_items, None, j.p.top_k)
 
 
 def _revenue_by_category(j: Job):
-    return R.revenue_by_category(j.sales, j.dim_produtos, j.p.top_k)
+    return R.revenue_by_category(j.period_items, mart_ops.products_as_dim(j.raw.products), j.p.top_k, "left")
 
 
 def _items_by_category(j: Job):
-    return R.items_by_category(j.sales, j.dim_produtos, j.p.top_k)
+    return R.items_by_category(j.period_items, mart_ops.products_as_dim(j.raw.products), j.p.top_k, "left")
 
 
 def _ticket_by_state(j: Job):
@@ -421,7 +440,7 @@ def _concentration_states(j: Job):
 
 def _concentration_sellers(j: Job):
     total = j.orders.agg(F.sum("receita_itens").alias("total"))
-    return R.concentration(R.revenue_by_seller(j.sales, j.dim_vendedores, None),
+    return R.concentration(R.revenue_by_seller(j.period_items, None, None),
                            "id_vendedor", "receita_total", total, 10)
 
 

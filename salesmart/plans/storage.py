@@ -6,6 +6,7 @@ file that lies there. All inputs come from the driver tables; every key has a Du
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
@@ -14,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesmart.operators import reports as R
 from salesmart.operators import series as S
 from salesmart.operators.mart import Mart
+from salesmart.params import driver_params
 from salesmart.plans.oracle import PREFIX
 from salesmart.plans.queries import Job, finish
-from salesmart.plans.store import TABLES, months_by_calendar, stored_mart
+from salesmart.plans.store import TABLES, materialize, months_by_calendar, stored_mart
+from salesmart.plans.views import register_views, state_report_sql
 from salesmart.session import shared_path
 from salesmart.sinks.catalog import load_database
-from salesmart.sources.files import FALLBACK_RATES
+from salesmart.sinks.history import refresh_changed, retain_days, run_changes
+from salesmart.sinks.writers import append_snapshot, write_csv_br
+from salesmart.sources.files import FALLBACK_RATES, read_csv_br_exact
 from salesmart.sources.gate import Input, input_report
 from salesmart.sources.quarantine import read_csv_split
 from salesmart.sources.rates import rates_or_table
@@ -131,7 +137,70 @@ def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_database(spark, DATABASE, ordered, {"fato_vendas": ["ano_mes"]})
 
 
-KEYS = (schema_gate, csv_quarantine, rates_degraded, stored_last_quarters, stored_categories_of_december, catalog_load)
+#: Run dates of the snapshots: the last days of the years of the period.
+RUN_DATES = tuple(dt.date(y, 12, 31) for y in range(1996, 2001))
+
+
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: snapshots of the KPIs at several run dates, one run twice, read back with the change between runs."""
+    job = Job(spark, sf_dir)
+    orders = materialize(spark, job.orders, "orders")
+    path = _new(spark, "kpis")
+    for run in (*RUN_DATES, RUN_DATES[2]):
+        append_snapshot(R.kpi_snapshot(orders.where(F.col("data") <= F.lit(run)), run), path)
+    return run_changes(spark.read.parquet(path), "data_calculo", ["receita_total", "total_pedidos", "ticket_medio"])
+
+
+def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: the month table after the orders of status P of 1998 and all orders of January 1996 were taken back; the
+    months that a refresh rebuilt, and those it left as they were."""
+    orders = materialize(spark, Job(spark, sf_dir).orders, "orders")
+    path = _new(spark, "months")
+    refresh_changed(orders, path, "ano_mes", R.month_summary)
+    taken = ((F.year("data") == 1998) & F.coalesce(F.col("status_pedido") == "P", F.lit(False))) | (F.col("ano_mes") == "1996-01")
+    report = refresh_changed(orders.where(~taken), path, "ano_mes", R.month_summary)
+    return spark.read.parquet(path).join(report, "ano_mes", "full_outer")
+
+
+CUTOFF = dt.datetime(2000, 10, 2, 12)
+
+
+def retention_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log stored by day, an hour of the day given by the key; records before noon of the border day go."""
+    log = Job(spark, sf_dir).change_log
+    at = F.timestamp_add("HOUR", (F.col("chave") % 24).cast("int"), F.col("data_consulta"))
+    path = _new(spark, "log")
+    log.withColumn("data_consulta", at).withColumn("dia", F.to_date("data_consulta")).hint("rebalance", "dia").write.partitionBy("dia").parquet(path)
+    retain_days(spark, path, CUTOFF, "dia", "data_consulta")
+    return spark.read.parquet(path).select("dia", "operacao", "chave", "data_consulta")
+
+
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state report by the table function, by the statement with a parameter and from the view, and the
+    months that fell from the month view, all by SQL text over the stored mart."""
+    params = driver_params()
+    register_views(spark, mart_of(spark, sf_dir), params)
+    report = state_report_sql(spark, params.focus_state)
+    rest = spark.sql(f"""
+        WITH quedas AS (SELECT * FROM vw_resumo_vendas_mensal WHERE variacao_pct < 0)
+        SELECT 'funcao' AS origem, estado_cliente AS chave, receita_total, total_pedidos FROM relatorio_estado('{params.focus_state}')
+        UNION ALL SELECT 'visao', estado_cliente, CAST(receita_total AS DECIMAL(15,2)), total_pedidos FROM vw_resumo_vendas_estado
+        UNION ALL SELECT 'queda', ano_mes, CAST(receita_total AS DECIMAL(15,2)), total_pedidos FROM quedas""")
+    return rest.unionByName(report.select(F.lit("parametro").alias("origem"), F.col("estado_cliente").alias("chave"), "receita_total", "total_pedidos"))
+
+
+def br_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the month series written with decimal commas and read back, doubles to the last bit."""
+    rows = Job(spark, sf_dir).growth
+    path = _new(spark, "months-br")
+    write_csv_br(rows, path)
+    return read_csv_br_exact(spark, path, rows.schema)
+
+
+KEYS = (
+    schema_gate, csv_quarantine, rates_degraded, stored_last_quarters, stored_categories_of_december, catalog_load,
+    snapshot_history, incremental_refresh, retention_by_day, sql_surface, br_round_trip,
+)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -201,4 +270,35 @@ FROM fato f JOIN prod p ON f.id_produto = p.id_produto WHERE month(f.data) = 12
   UNION ALL SELECT 3, 'dim_vendedores', count(*) FROM vend UNION ALL SELECT 4, 'dim_tempo', count(*) FROM tempo
   UNION ALL SELECT 5, 'fato_vendas', count(*) FROM fato)
 SELECT CAST(ordem AS BIGINT) AS ordem, tabela, n AS linhas_origem, n AS linhas_carregadas, true AS confere FROM contado""",
+        "snapshot_history": PREFIX + f"""
+, medidas AS (
+  SELECT d AS data_calculo, CAST(sum(receita_itens) AS DECIMAL(15,2)) AS receita_total, count(*) AS total_pedidos,
+         round(CAST(sum(receita_itens) AS DOUBLE) / NULLIF(CAST(count(*) AS DOUBLE), 0), 2) AS ticket_medio
+  FROM pedidos JOIN (VALUES {", ".join(f"(DATE '{d}')" for d in RUN_DATES)}) r(d) ON data <= d GROUP BY d)
+SELECT CAST(data_calculo AS VARCHAR) AS data_calculo, CAST(receita_total AS DOUBLE) AS receita_total, total_pedidos, ticket_medio,
+       CAST(receita_total - lag(receita_total) OVER w AS DOUBLE) AS receita_total_variacao,
+       total_pedidos - lag(total_pedidos) OVER w AS total_pedidos_variacao, ticket_medio - lag(ticket_medio) OVER w AS ticket_medio_variacao
+FROM medidas WINDOW w AS (ORDER BY data_calculo)""",
+        "incremental_refresh": PREFIX + """
+, ficam AS (SELECT *, coalesce((year(data) = 1998 AND status_pedido = 'P') OR ano_mes = '1996-01', false) AS sai FROM pedidos),
+meses AS (
+  SELECT ano_mes, CAST(sum(receita_itens) AS DECIMAL(15,2)) AS receita_total, count(*) AS total_pedidos,
+         round(CAST(sum(receita_itens) AS DOUBLE) / NULLIF(CAST(count(*) AS DOUBLE), 0), 2) AS ticket_medio
+  FROM ficam WHERE NOT sai GROUP BY ano_mes)
+SELECT t.ano_mes, CAST(m.receita_total AS DOUBLE) AS receita_total, m.total_pedidos, m.ticket_medio,
+       CASE WHEN m.ano_mes IS NULL THEN 'removida' WHEN t.saem > 0 THEN 'refeita' ELSE 'igual' END AS situacao
+FROM (SELECT ano_mes, count(*) FILTER (WHERE sai) AS saem FROM ficam GROUP BY ano_mes) t LEFT JOIN meses m USING (ano_mes)""",
+        "retention_by_day": PREFIX + f"""
+, horas AS (SELECT operacao, chave, data_consulta + to_hours(CAST(chave % 24 AS INTEGER)) AS em FROM clog)
+SELECT CAST(CAST(em AS DATE) AS VARCHAR) AS dia, operacao, chave, strftime(em, '%Y-%m-%d %H:%M:%S') AS data_consulta
+FROM horas WHERE em >= TIMESTAMP '{CUTOFF}'""",
+        "sql_surface": PREFIX + """
+, estados AS (SELECT estado_cliente, CAST(CAST(sum(receita_itens) AS DECIMAL(15,2)) AS DOUBLE) AS r, count(*) AS n FROM pc GROUP BY 1),
+meses AS (SELECT ano_mes, sum(receita_itens) AS r, count(*) AS n, lag(sum(receita_itens)) OVER (ORDER BY ano_mes) AS antes FROM pedidos GROUP BY ano_mes)
+SELECT o.origem, e.estado_cliente AS chave, e.r AS receita_total, e.n AS total_pedidos
+FROM estados e CROSS JOIN (VALUES ('funcao'), ('parametro')) o(origem) WHERE e.estado_cliente = 'NATION_7'
+UNION ALL SELECT 'visao', estado_cliente, r, n FROM estados
+UNION ALL SELECT 'queda', ano_mes, CAST(CAST(r AS DECIMAL(15,2)) AS DOUBLE), n FROM meses WHERE r < antes""",
+        "br_round_trip": PREFIX + """
+SELECT ano_mes, CAST(receita_mensal AS DOUBLE) AS receita_mensal, crescimento_mom_pct FROM growth""",
     }

@@ -31,15 +31,15 @@ def write_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), mode
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV export with header; NULL is written as an empty field (K1, K2)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV export with header; NULL is written as an empty field, a quote within quotes is doubled (K1, K2)."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def _plain_number(c: Column) -> Column:
-    """A number's text without an exponent; doubles keep their shortest digits and one decimal at least."""
+    """A number's text without an exponent, where 18 decimals hold it exactly; doubles keep their shortest digits and one decimal at least."""
     s = c.cast("string")
     plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), "(\\.[0-9]*?[1-9])0+$|(\\.0)0*$", "$1$2")
-    return F.when(s.contains("E"), F.coalesce(plain, s)).otherwise(s)
+    return F.when(s.contains("E") & (plain.try_cast("double") == c.cast("double")), plain).otherwise(s)
 
 
 def to_br_text(df: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def to_br_text(df: DataFrame) -> DataFrame:
 
 def write_csv_br(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``;``-separated CSV with decimal comma (K3)."""
-    to_br_text(df).write.mode(mode).option("header", True).option("sep", ";").csv(path)
+    to_br_text(df).write.mode(mode).option("header", True).option("sep", ";").option("escape", '"').csv(path)
 
 
 def create_database(spark: SparkSession, name: str) -> None:

@@ -48,7 +48,8 @@ RATE_JSON = T.StructType([T.StructField("value", T.ArrayType(_schema(
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
              sep: str = ",", **options) -> DataFrame:
     """Header CSV with a fixed schema (S1, S3: a UTF-8 BOM is stripped by the reader)."""
-    r = spark.read.schema(schema).option("header", True).option("sep", sep)
+    # a quote within a quoted field is doubled, not escaped by a backslash
+    r = spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
     for k, v in options.items():
         r = r.option(k, v)
     return r.csv(path if isinstance(path, str) else list(path))
@@ -62,6 +63,19 @@ def read_csv_br(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return read_csv(spark, path, schema, sep=";", locale="pt-BR")
 
 
+def read_csv_br_exact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``;``-separated CSV with decimal comma, doubles included (K3 read-back): numbers are read as text, dots that group
+    digits go, the comma becomes a point, and the text is cast; a text that is no number gives NULL."""
+    text = read_csv(spark, path, T.StructType([T.StructField(f.name, S) for f in schema.fields]), sep=";")
+    cols = []
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.NumericType):
+            c = F.translate(c, ",.", ".")
+        cols.append(c.try_cast(f.dataType).alias(f.name))
+    return text.select(*cols)
+
+
 def exists(path: str) -> bool:
     """Whether a path exists on the file system its scheme names."""
     spark = SparkSession.getActiveSession()
