@@ -228,7 +228,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
         near = nodes.where(in_top | (F.col("level") % (2 * distance) == 0))
         distance *= 2
         nodes = stored(jump(near, far), f"manifest-nodes-{distance}")
-    ends = groups.join(subroots.withColumnRenamed("hash", "subroot"), "tree").select("tree", F.col("lang"), "subroot")
+    # written, so that Spark knows how small it is: few groups are broadcast, of many a hot one is split
+    ends = stored(groups.join(subroots.withColumnRenamed("hash", "subroot"), "tree").select("tree", "lang", "subroot"), "manifest-ends")
     rows = rows.join(ends, "tree")
     again = folded(F.coalesce("changed", "hash"), F.col("seg"), F.col("idx"), F.col("n"), F.col("tree"), F.lit(trees).cast("long"))
     rows = rows.withColumn("again", again)
