@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import map_arrow, texts
+from salesmart.llm.common import map_arrow, stored, texts
 from salesmart.llm.tokens import tokenizer, tokenizer_path
 
 #: Lengths of one bucket of the running sums.
@@ -46,7 +46,8 @@ def limit_table(hist: DataFrame) -> DataFrame:
     tokens of those up to it, tokens left when all documents are cut at L (between two rows it
     is linear, so the table answers for every L), share of the documents up to L, padding of
     all documents to L after the cut."""
-    hist = hist.select(F.col("n_tokens"), F.col("n_docs"), F.floor(F.col("n_tokens") / BUCKET).alias("bucket"))
+    # two branches below read it: written once, or every text would be encoded for either
+    hist = stored(hist.select(F.col("n_tokens"), F.col("n_docs"), F.floor(F.col("n_tokens") / BUCKET).alias("bucket")), "length-histogram")
     whole = hist.groupBy("bucket").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     # a bucket holds BUCKET lengths: as many rows as the longest document has thousands of tokens
     before, after = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
