@@ -174,8 +174,8 @@ def driver_base(raw: RawTables, params: Params, customers: DataFrame | None = No
     joined 1:1. Orders with items then join the items as an inner join, with
     orders above ``params.hot_rows`` items salted over several tasks
     (``split_hot_keys``), and itemless orders are added back from the count: no
-    outer join whose skewed side could not be split. Nothing is cached: the
-    uses of the per-order rows in one plan share an exchange.
+    outer join whose skewed side could not be split. Nothing is cached; every
+    use of the per-order rows is a scan of the items of its own.
     """
     per_order = raw.items.groupBy("order_id").agg(
         F.max("shipping_limit_date").alias("order_delivered_customer_date"),
