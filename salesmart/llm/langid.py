@@ -181,13 +181,15 @@ def train(docs: DataFrame, max_rows: int = 2000, families: dict[str, str] | None
     """Learns from documents with a lang that are not held out, ``max_rows`` of them at most."""
     lang = F.col("lang").cast("string").alias("lang")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    usual = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    usual = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not usual:
         return Model()
-    # of no more than 1000 Spark takes the first rows of each language before the shuffle
-    each = min(1000, max(1, max_rows // len(usual)))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.col("lang").isin([r.lang for r in usual])).distinct().withColumn("nth", first).where(F.col("nth") <= each)
+    each = max(1, max_rows // len(usual))
+    # the least hashes of a language lie below this bound, some times `each` of them, so no task ranks all documents of a language
+    hashed = F.xxhash64("doc_id")
+    bound = F.create_map(*[F.lit(x) for r in usual for x in (r.lang, int(-(2**63) + min(1.0, (4 * each + 100) / r.ids) * (2**64 - 2**12)))])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    chosen = known.where(hashed <= F.element_at(bound, F.col("lang"))).distinct().withColumn("nth", first).where(F.col("nth") <= each)
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("own"))
     # at most max_rows rows of an id and a lang
     rows = _readable(docs, lang).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("own"))).where("letters").select("doc_id", "lang", "text")
