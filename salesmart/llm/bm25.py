@@ -16,9 +16,13 @@ document: question and answer must both have ``overlap`` of their distinct shing
 in it (a shorter question or answer: its whole sequence). The answer of an item is its last sentence,
 the question all before; an item of one sentence is all question.
 
-Items are dealt out to shards of at most ``SHARD_CHARS`` characters; a shard's index is what a task
-gets, and each shard is one pass over the documents. All shards' indexes are built and held on the
-driver, and repeated items fall into one shard, so neither is bounded for a large benchmark.
+The distinct texts of the items are dealt out to shards of some ``SHARD_CHARS`` characters. A task
+builds the index of a shard from its texts and the document frequencies of its terms, and writes it
+as a file below the shared folder; Spark hands these files to the executors (from the shared folder
+itself where it is a remote one). So no text and no posting is gathered on the driver, which
+knows the names of the files only, and a task holds one shard at a time. The documents are read once
+for any number of shards. The item_ids of a text are joined to what is found, so an item that is
+repeated many times is indexed and verified once.
 
 Defined cases: null or empty texts and items without words match nothing; repeated rows and items
 are judged each on its own; an empty table gives no rows. Only doc_id and text (item_id and
@@ -27,21 +31,24 @@ text) are read; ``decontaminate`` passes all columns on.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import ascii_lower, map_arrow, texts
+from salesmart.llm.common import ascii_lower, map_arrow, run_folder, ship, texts
 from salesmart.llm.tokens import ragged, slices, text_buffers
 from salesmart.llm.words import Words, distinct, mix
 
 K1, B, PART, BLOCK, LIGHT, SIZE = 1.2, 0.75, 64, 4, 0.4, 5
-SHARD_CHARS = 32 << 20
+SHARD_CHARS = 16 << 20
 #: Bytes of text that are searched at once.
 HELD = 1 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -71,7 +78,7 @@ def term_stats(items: DataFrame) -> tuple[DataFrame, int, float]:
 class Index:
     """The inverted index of one shard of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], n: int, mean: float):
+    def __init__(self, items: list[tuple[object, str]], df: dict[str, int], n: int, mean: float):
         self.items = [i for i, _ in items]
         self.terms: dict[bytes, int] = {}
         self.part_item, term, part, weight = [], [], [], []
@@ -235,63 +242,90 @@ def search_texts(col: pa.Array, index: Index, threshold: float, overlap: float)
                 yield a + r, item, score, share[0], share[1]
 
 
-def _shards(items: DataFrame) -> list[Index]:
-    """The index of each shard; document frequencies are those of all items."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    df, n, mean = term_stats(rows)
-    chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-2 * chars // SHARD_CHARS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    out = []
-    for s in range(shards):
-        own = rows.where(F.col("shard") == s).orderBy("item_id", "text")
-        terms = own.select(F.explode(F.split(ascii_lower(F.col("text")), r"[ \t-\r]+")).alias("w")).select(F.trim("w", F.lit(PUNCTUATION)).alias("term")).distinct()
-        known = dict(map(tuple, df.join(terms, "term").collect()))
-        out.append(Index([(r.item_id, r.text) for r in own.select("item_id", "text").collect()], known, n, mean))
-    return out
+def _cleaned(items: DataFrame) -> DataFrame:
+    """(item_id, content, text); content names a text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.sha2(text, 256).alias("content"), text.alias("text"))
 
 
-MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+def _shards(items: DataFrame) -> list[str]:
+    """Names of the files that hold the shards' indexes, one each; document frequencies are those of all items."""
+    spark = items.sparkSession
+    ship(spark)
+    df, n, mean = term_stats(items)
+    own = items.groupBy("content").agg(F.first("text").alias("text"))
+    chars = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-chars // SHARD_CHARS))
+    own = own.withColumn("shard", F.pmod(F.xxhash64("content"), F.lit(shards)))
+    words = F.explode(F.split(ascii_lower(F.col("text")), r"[ \t-\r]+"))
+    terms = own.select(F.col("shard").alias("of"), words.alias("w")).select("of", F.trim("w", F.lit(PUNCTUATION)).alias("term")).distinct().join(df, "term")
 
+    def built(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = dict(zip(right.column("term").to_pylist(), right.column("df").to_pylist()))
+        rows = sorted(zip(left.column("content").to_pylist(), left.column("text").to_pylist()))
+        return pa.table({"index": pa.array([pickle.dumps(Index(rows, known, n, mean))], pa.binary())})
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
-    """One row per document and verified item."""
-    out = None
-    for index in _shards(items):
-        found = map_arrow(texts(docs), _matches(index, threshold, overlap), MATCHES)
-        out = found if out is None else out.unionByName(found)
-    return out
+    path = run_folder(spark, "bm25-shards")
+    indexes = own.groupBy("shard").cogroup(terms.groupBy("of")).applyInArrow(built, "index binary")
+    indexes.write.option("maxRecordsPerFile", 1).parquet(path)
+    files = sorted(spark.read.schema("index binary").parquet(path).inputFiles())
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rsplit("/", 1)[1] for f in files]
+
+
+def _indexes(files: list[str]) -> Callable[[], Iterator[Index]]:
+    """What yields the indexes of ``files``, one held at a time; a single one is read once."""
+    held: dict[str, list[Index]] = {}
+
+    def read(name: str) -> list[Index]:
+        if name not in held:
+            held.clear()
+            held[name] = [pickle.loads(x.as_py()) for x in pq.read_table(SparkFiles.get(name)).column("index")]
+        return held[name]
+
+    def each() -> Iterator[Index]:
+        # the one that is held comes first
+        for name in sorted(files, key=lambda f: f not in held):
+            yield from read(name)
+
+    return each
 
 
-def _matches(index: Index, threshold: float, overlap: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+FOUND = "doc_id long, content string, score double, question_overlap double, answer_overlap double"
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
+    """One row per document and verified item: doc_id, item_id, score, question_overlap, answer_overlap."""
+    items = _cleaned(items)
+    files = _shards(items)
+
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _indexes(files)
         for batch in batches:
-            rows = list(search_texts(batch.column(1), index, threshold, overlap))
-            at, item, *rest = zip(*rows) if rows else ((), (), (), (), ())
-            cols = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.items[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)]
-            yield pa.record_batch(cols, names=[c.split()[0] for c in MATCHES.split(", ")])
+            for index in each():
+                rows = list(search_texts(batch.column(1), index, threshold, overlap))
+                at, item, *rest = zip(*rows) if rows else ((), (), (), (), ())
+                cols = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.items[i] for i in item], pa.string()), *(pa.array(x, pa.float64()) for x in rest)]
+                yield pa.record_batch(cols, names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return matched
+    found = map_arrow(texts(docs), matched, FOUND)
+    return found.join(items.select("content", "item_id"), "content").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no verified item."""
-    from salesmart.llm.common import ship
+    files, at = _shards(_cleaned(items)), docs.columns.index("text")
 
-    def clean(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = np.ones(batch.num_rows, dtype=bool)
-                col = batch.column(at).cast(pa.string())
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _indexes(files)
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            col = batch.column(at).cast(pa.string())
+            for index in each():
                 for row, *_ in search_texts(col, index, threshold, overlap):
                     ok[row] = False
-                yield batch.filter(pa.array(ok))
-            pa.default_memory_pool().release_unused()  # the worker stays, for other stages
-
-        return kept
+            yield batch.filter(pa.array(ok))
+        pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
-    ship(docs.sparkSession)
-    at = docs.columns.index("text")
-    for index in _shards(items):
-        docs = docs.mapInArrow(clean(index), docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)

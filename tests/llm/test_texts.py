@@ -256,6 +256,45 @@ def test_decontamination_with_odd_items(spark):
     assert {r.doc_id for r in bm25.contaminated(docs, items).collect()} == {1, None}
 
 
+def test_decontamination_in_shards(spark, monkeypatch):
+    """Several shards, a third of the items equal: item_ids and shares of the plain overlap rule, every repeat on its own."""
+    rng = random.Random(14)
+
+    def prose(n):
+        return [f"w{rng.randrange(500)}" for _ in range(n)]
+
+    items = [(i, " ".join(prose(rng.randrange(20, 160))) + ".\n" + " ".join(prose(9)) + "?") for i in range(40)]
+    items += [(100 + i, items[7][1]) for i in range(20)] + [(None, items[7][1]), (3, items[3][1])]
+    docs = []
+    for i, (_, text) in enumerate(items[:41]):
+        words = text.split(" ")
+        for k in range(i % 4):  # words replaced: some leave the overlap above its bound, some do not
+            words[rng.randrange(len(words) - 10)] = "changed"
+        docs.append((i, " ".join(prose(80) + words + prose(50))))
+    docs += [(90, " ".join(prose(900))), (91, " ".join(t for _, t in items[5:30])), (92, None)]
+
+    def runs(words, n):
+        return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+    want = Counter()
+    for d, text in docs:
+        own = bm25.item_words(text or "")
+        for item, t in items:
+            halves = [runs(w, min(5, len(w))) for w in map(bm25.item_words, bm25.question_answer(t))]
+            share = [len(h & runs(own, len(next(iter(h))))) / len(h) for h in halves]
+            if min(share) >= 0.8:
+                want[d, item, *(round(x, 9) for x in share)] += 1
+    assert any(x < 1 for *_, x, _ in want) and len({i for _, i, *_ in want}) > 30
+    monkeypatch.setattr(bm25, "SHARD_CHARS", 4000)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert len(bm25._shards(bm25._cleaned(tests))) >= 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = bm25.contaminated(frame, tests)
+    assert Counter((r.doc_id, r.item_id, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id for r in bm25.decontaminate(frame, tests).collect()} == {d for d, _ in docs} - {d for d, *_ in want}
+
+
 def test_quality_with_odd_labels(spark):
     """Null and repeated labels and extra columns that clash with the documents' change no score's range or count."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
