@@ -9,7 +9,7 @@ from salesmart.llm.common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links``: (a, b) long. Returns (node, root) for every node of a link, root being the least
+    """``links``: (a, b) of any type that has an order. Returns (node, root) for every node of a link, root being the least
     node of its component. Every round takes the least label of the neighbours and then the label
     of that label (pointer jumping); a round's labels are written to the shared folder."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")

@@ -1,12 +1,14 @@
 """Near-duplicates by MinHash bands and sequential Bayesian verification.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents of one set form
-a class (by a 128-bit digest), of which one stands for all. Of ``HASHES`` minima eight bits each
-are kept as the signature, cut into bands of ``band_rows`` bytes; classes that agree on all bytes
-of a band meet in a bucket.
+a class, named by a 128-bit digest, of which one stands for all. ``HASHES`` minima are cut into
+bands of ``band_rows``; classes that agree on all 64-bit minima of a band meet in a bucket (its key
+is a hash of these minima, so unrelated sets do not meet by chance). Eight bits of each minimum are
+kept as the signature.
 In a bucket, signatures are compared batch by batch: with a uniform prior on the similarity,
 a pair goes as soon as the posterior probability of a similarity of ``threshold`` or more falls
-below ``miss``. What is left is verified on the full sets of the texts.
+below a level, chosen so that all batches together lose a pair of just the threshold with
+probability ``miss`` at most. What is left is verified on the full sets of the texts.
 
 A bucket of near copies could hold very many true pairs, so verification goes in two steps, and
 loses no link that could join two components: first every bucket names a maximum spanning forest
@@ -19,9 +21,8 @@ members are dealt out as cells of two parts each, so no task holds a bucket whol
 The bands follow from the threshold: they are the longest, of ``ROWS`` bytes at most, whose
 chance to miss a pair of just that similarity is ``miss`` or less. With ``miss`` 1e-6 that is 24
 bands of 5 at 0.85, (1 - 0.85**5)**24 = 7.7e-7, and 30 bands of 4 at 0.80, (1 - 0.8**4)**30 =
-1.4e-7 (24 of 5 would miss 7.3e-5 there). The bounds on the posterior prune a pair of just the
-threshold with probability 6.9e-6 at 0.85 and 5.7e-6 at 0.80, over all batches; a more similar
-pair is pruned less often.
+1.4e-7 (24 of 5 would miss 7.3e-5 there). A pair is judged in the first band where it meets, which 32
+bits of the bands' keys tell: that an earlier band agrees in these alone has a chance of 30 * 2**-32.
 
 Defined cases: a null or empty text has no set, links with nothing and is its own component;
 repeated rows are copies; rows of one doc_id with different texts are judged each on its own;
@@ -34,6 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,9 @@ from pyspark.sql import functions as F
 from salesmart.llm.common import map_arrow, stored, texts
 from salesmart.llm.graph import components
 from salesmart.llm.tokens import slices, text_buffers
-from salesmart.llm.words import shingle_sets
+from salesmart.llm.words import mix, shingle_sets
 
-HASHES, ROWS, BATCH, CELL = 120, 5, 20, 2048
+HASHES, ROWS, BATCH, CELL, BAND_BITS = 120, 5, 20, 2048, 7
 #: Shingles that are hashed at once; bytes of text of which the sets are held at once.
 CHUNK, HELD = 1 << 15, 1 << 20
 
@@ -54,8 +56,9 @@ def _factors() -> np.ndarray:
     return np.random.default_rng(8).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, HASHES) bytes; texts without a set have zeros."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (texts, HASHES), zeros for texts without a set, and keys of bands of ``rows`` minima (texts,
+    bands): a hash of the minima, with the number of the band in the last ``BAND_BITS`` bits."""
     factors, n = _factors(), len(offsets) - 1
     low = np.full((HASHES, n), np.iinfo(np.uint64).max, dtype=np.uint64)
     at = 0
@@ -73,13 +76,37 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = ((low >> np.uint64(24)) ^ (low >> np.uint64(40))).astype(np.uint8).T
     out = np.ascontiguousarray(out)
     out[np.diff(offsets) == 0] = 0
-    return out
+    bands = HASHES // rows
+    keys = np.zeros((n, bands), dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[r::rows].T)
+    return out, keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.arange(bands, dtype=np.uint64)
 
 
 @cache
 def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     """For each number of batches compared, the least number of equal bytes with which the posterior
-    probability of a similarity >= threshold is still ``miss`` or more."""
+    probability of a similarity >= threshold still reaches a level: ``miss`` over the batches, or so
+    much less that a pair of just the threshold is lost in all batches with probability ``miss`` at most."""
+    level = miss * BATCH / HASHES
+    while lost(least := bounds(threshold, level), threshold) > miss:
+        level /= 2
+    return least
+
+
+def lost(least: tuple[int, ...], similarity: float) -> float:
+    """The probability that a pair falls below one of the bounds."""
+    p = similarity + (1 - similarity) / 256
+    batch = np.array([comb(BATCH, k) * p**k * (1 - p) ** (BATCH - k) for k in range(BATCH + 1)])
+    left, out = np.ones(1), 0.0
+    for bound in least:
+        left = np.convolve(left, batch)
+        out += float(left[:bound].sum())
+        left[:bound] = 0
+    return out
+
+
+def bounds(threshold: float, level: float) -> tuple[int, ...]:
     s = (np.arange(2000) + 0.5) / 2000
     p = s + (1 - s) / 256  # unequal minima have equal bytes by chance
     out = []
@@ -88,7 +115,7 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
         log = m * np.log(p) + (n - m) * np.log1p(-p)
         weight = np.exp(log - log.max(axis=1, keepdims=True))
         tail = weight[:, s >= threshold].sum(axis=1) / weight.sum(axis=1)
-        out.append(int(np.argmax(tail >= miss)))
+        out.append(int(np.argmax(tail >= level)))
     return tuple(out)
 
 
@@ -101,7 +128,7 @@ def band_rows(percent: int, miss: float) -> int:
     raise ValueError(f"{HASHES} minima cannot find pairs of similarity {percent} % with a miss of {miss}")
 
 
-def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def survivors(sig: np.ndarray, tags: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal bytes) of the pairs that no bound prunes, whose sizes allow a link, and that meet in ``band`` first."""
     ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
     i, j = i[ok], j[ok]
@@ -112,8 +139,7 @@ def survivors(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, b
         ok = equal >= least
         i, j, equal = i[ok], j[ok], equal[ok]
     if band and len(i):
-        rows = band_rows(percent, miss)
-        before = (sig[i, : band * rows] == sig[j, : band * rows]).reshape(len(i), band, rows).all(axis=2).any(axis=1)
+        before = (tags[i, :band] == tags[j, :band]).any(axis=1)
         i, j, equal = i[~before], j[~before], equal[~before]
     return i, j, equal
 
@@ -138,42 +164,38 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarr
     return np.array(taken, dtype=np.int64)
 
 
-def _sign(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, node, n_shingles, sig); node: 64 bits of the digest of the set, null without a set."""
+def _sign(docs: DataFrame, size: int, rows: int) -> DataFrame:
+    """(doc_id, text_hash, node, n_shingles, sig, bands); node: the digest of the set, null without a set;
+    sig: the signature and 32 bits of each band's key; bands: the keys."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(2).fill_null("")
             for a, b in slices(text_buffers(col)[1], HELD):
                 sets, offsets = shingle_sets(col.slice(a, b - a), size)
-                sig, data = signatures(sets, offsets), memoryview(sets).cast("B") if len(sets) else b""
+                (sig, keys), data = signatures(sets, offsets, rows), memoryview(sets).cast("B") if len(sets) else b""
                 cuts = (offsets * 8).tolist()
                 digest = [hashlib.blake2b(data[x:y], digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:])]
-                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.diff(offsets)), pa.array([s.tobytes() for s in sig], pa.binary())]
-                yield pa.record_batch(cols, names=["doc_id", "text_hash", "digest", "n_shingles", "sig"])
+                cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.diff(offsets))]
+                tags = (keys >> np.uint64(32)).astype(np.uint32)
+                cols += [pa.array([s.tobytes() + t.tobytes() for s, t in zip(sig, tags)], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
+                yield pa.record_batch(cols, names=["doc_id", "text_hash", "node", "n_shingles", "sig", "bands"])
         pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
-    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    out = map_arrow(rows, signed, "doc_id long, text_hash long, digest binary, n_shingles long, sig binary")
-    return out.withColumn("node", F.when(F.col("digest").isNotNull(), F.xxhash64("digest")))
+    own = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(own, signed, "doc_id long, text_hash long, node binary, n_shingles long, sig binary, bands binary")
 
 
-def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
     """(key, low, high, part, node, size, sig): members of buckets of two or more, dealt out to cells."""
 
-    bands_of = HASHES // rows
-
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bands_of, rows).astype(np.uint64)
-            key = np.zeros(sig.shape[:2], dtype=np.uint64)
-            for r in range(rows):
-                key = (key << np.uint64(8)) | sig[:, :, r]
-            key |= np.arange(bands_of, dtype=np.uint64) << np.uint64(8 * rows)
-            node = np.repeat(batch.column(0).to_numpy(), bands_of)
-            yield pa.record_batch([pa.array(key.ravel().astype(np.int64)), pa.array(node)], names=["key", "node"])
-
-    bands = map_arrow(nodes.select("node", "sig"), banded, "key long, node long")
+            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
+            of = np.repeat(np.arange(batch.num_rows), len(key) // max(1, batch.num_rows))
+            yield pa.record_batch([pa.array(key), batch.column(0).take(pa.array(of))], names=["key", "node"])
+
+    bands = map_arrow(nodes.select("node", "bands"), banded, "key long, node binary")
     sizes = bands.groupBy("key").count().where("count > 1")
     # the number of parts of a bucket; most have one
     member = bands.join(sizes, "key").select("key", "node", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
@@ -207,11 +229,12 @@ def _edges(t: pa.Table) -> np.ndarray:
 def _candidates(t: pa.Table, percent: int, miss: float, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, equal bytes): rows of surviving pairs, cell by cell. ``whole``: all whose root differs, else a forest."""
     key, low, high, part, size = (t.column(c).to_numpy() for c in ("key", "low", "high", "part", "size"))
-    root = t.column("root").to_numpy() if whole else None
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+    root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy() if whole else None
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(t), -1)
+    sig, tags = sig[:, :HASHES], np.ascontiguousarray(sig[:, HASHES:]).view(np.uint32)
     at = np.flatnonzero(np.concatenate([[True], _edges(t)]))
     end = np.append(at[1:], len(key))
-    band = key >> (8 * band_rows(percent, miss))
+    band = key & ((1 << BAND_BITS) - 1)
     # buckets of two, all of a band at once
     two = at[end - at == 2]
     two = two[low[two] == high[two]]
@@ -219,7 +242,7 @@ def _candidates(t: pa.Table, percent: int, miss: float, whole: bool) -> Iterator
         i = two[band[two] == k]
         if whole:
             i = i[root[i] != root[i + 1]]
-        yield survivors(sig, size, i, i + 1, int(k), percent, miss)
+        yield survivors(sig, tags, size, i, i + 1, int(k), percent, miss)
     for x, y in zip(at.tolist(), end.tolist()):
         if y - x < 2 or y - x == 2 and low[x] == high[x]:
             continue
@@ -230,7 +253,7 @@ def _candidates(t: pa.Table, percent: int, miss: float, whole: bool) -> Iterator
             ok = i < j if low[x] == high[x] else (part[i] == low[x]) & (part[j] == high[x])
             if whole:
                 ok &= root[i] != root[j]
-            found.append(survivors(sig, size, i[ok], j[ok], int(band[x]), percent, miss))
+            found.append(survivors(sig, tags, size, i[ok], j[ok], int(band[x]), percent, miss))
         i, j, equal = (np.concatenate(f) for f in zip(*found))
         if not whole:
             take = forest(y - x, i - x, j - x, equal)
@@ -249,9 +272,9 @@ def _first_pairs(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
         for t in _cells(batches):
             node = t.column("node").to_numpy()
             for i, j, _ in _candidates(t, percent, miss, False):
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+                yield pa.record_batch([pa.array(np.minimum(node[i], node[j]), pa.binary()), pa.array(np.maximum(node[i], node[j]), pa.binary())], names=["a", "b"])
 
-    return map_arrow(_dealt(buckets), paired, "a long, b long")
+    return map_arrow(_dealt(buckets), paired, "a binary, b binary")
 
 
 def _open_members(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -273,9 +296,9 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
     skipped if links found in this task have joined its components already."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
+        up: dict[bytes, bytes] = {}
 
-        def top(x: int) -> int:
+        def top(x: bytes) -> bytes:
             while (y := up.get(x, x)) != x:
                 up[x] = up.get(y, y)
                 x = y
@@ -299,9 +322,9 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
                         up[rx] = ry
                         links.append((min(node[x], node[y]), max(node[x], node[y])))
             a, b = zip(*links) if links else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return map_arrow(_dealt(members), linked, "a long, b long")
+    return map_arrow(_dealt(members), linked, "a binary, b binary")
 
 
 def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -330,16 +353,16 @@ def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) ->
     one = content.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = content.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return map_arrow(joined, checked, "a long, b long")
+    return map_arrow(joined, checked, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
-    text_hash (xxhash64 of the text) and root (the same number for all of a component, null without a set)."""
-    rows = stored(_sign(docs, size), "signatures")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    text_hash (xxhash64 of the text) and root (the same digest for all of a component, null without a set)."""
+    rows = stored(_sign(docs, size, band_rows(percent, miss)), "signatures")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "set-classes")
-    buckets = stored(_buckets(nodes, band_rows(percent, miss)), "buckets")
+    buckets = stored(_buckets(nodes), "buckets")
     pairs = stored(_first_pairs(buckets, percent, miss), "first-pairs").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
     found = texts(docs).select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash")

@@ -68,6 +68,22 @@ def test_cells_of_two_parts_lose_no_link(spark, monkeypatch):
     assert small == {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
 
 
+def test_bands_and_bounds_of_minhash():
+    """Band keys follow the whole minima, and all bounds together lose a pair of the threshold with the chosen probability at most."""
+    import numpy as np
+
+    for similarity in (0.8, 0.85):
+        least = minhash.least_matches(similarity, 1e-6)
+        assert 0 < minhash.lost(least, similarity) <= 1e-6 and minhash.lost(least, similarity + 0.05) < minhash.lost(least, similarity)
+        assert minhash.lost(least, 0.3) > 0.99
+    sets = np.random.default_rng(3).integers(0, 1 << 63, 40_000, dtype=np.uint64).reshape(4000, 10)
+    sets[1] = sets[0]
+    sig, keys = minhash.signatures(sets.ravel(), np.arange(4001) * 10, 1)
+    assert (keys[0] == keys[1]).all() and (keys & 127 == np.arange(120)).all()
+    # single minima of 8 bits agree often by chance, their keys only where the minima do
+    assert len(np.unique(keys[1:, 0])) == 3999 and len(np.unique(sig[1:, 0])) <= 256
+
+
 @pytest.mark.parametrize("digest", [streamdedup.sha256, lambda t: F.length(t).cast("string")], ids=["sha256", "colliding"])
 def test_stream_dedup(spark, odd, none, tmp_out, digest):
     odd.write.parquet(f"{tmp_out}/docs.parquet")
