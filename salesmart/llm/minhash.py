@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash bands and sequential Bayesian verification.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents of one set form
-a class, named by a 128-bit digest, of which one stands for all. ``HASHES`` minima are cut into
+a class, by a 128-bit digest, of which one stands for all; classes are numbered. ``HASHES`` minima are cut into
 bands of ``band_rows``; classes that agree on all 64-bit minima of a band meet in a bucket (its key
 is a hash of these minima, so unrelated sets do not meet by chance). Eight bits of each minimum are
 kept as the signature.
@@ -165,7 +165,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def _sign(docs: DataFrame, size: int, rows: int) -> DataFrame:
-    """(doc_id, text_hash, node, n_shingles, sig, bands); node: the digest of the set, null without a set;
+    """(doc_id, text_hash, digest, n_shingles, sig, bands); digest: that of the set, null without a set;
     sig: the signature and 32 bits of each band's key; bands: the keys."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +179,11 @@ def _sign(docs: DataFrame, size: int, rows: int) -> DataFrame:
                 cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digest, pa.binary()), pa.array(np.diff(offsets))]
                 tags = (keys >> np.uint64(32)).astype(np.uint32)
                 cols += [pa.array([s.tobytes() + t.tobytes() for s, t in zip(sig, tags)], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
-                yield pa.record_batch(cols, names=["doc_id", "text_hash", "node", "n_shingles", "sig", "bands"])
+                yield pa.record_batch(cols, names=["doc_id", "text_hash", "digest", "n_shingles", "sig", "bands"])
         pa.default_memory_pool().release_unused()  # the worker stays, for other stages
 
     own = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return map_arrow(own, signed, "doc_id long, text_hash long, node binary, n_shingles long, sig binary, bands binary")
+    return map_arrow(own, signed, "doc_id long, text_hash long, digest binary, n_shingles long, sig binary, bands binary")
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(batch.num_rows), len(key) // max(1, batch.num_rows))
             yield pa.record_batch([pa.array(key), batch.column(0).take(pa.array(of))], names=["key", "node"])
 
-    bands = map_arrow(nodes.select("node", "bands"), banded, "key long, node binary")
+    bands = map_arrow(nodes.select("node", "bands"), banded, "key long, node long")
     sizes = bands.groupBy("key").count().where("count > 1")
     # the number of parts of a bucket; most have one
     member = bands.join(sizes, "key").select("key", "node", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
@@ -229,7 +229,7 @@ def _edges(t: pa.Table) -> np.ndarray:
 def _candidates(t: pa.Table, percent: int, miss: float, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, equal bytes): rows of surviving pairs, cell by cell. ``whole``: all whose root differs, else a forest."""
     key, low, high, part, size = (t.column(c).to_numpy() for c in ("key", "low", "high", "part", "size"))
-    root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy() if whole else None
+    root = t.column("root").to_numpy() if whole else None
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(len(t), -1)
     sig, tags = sig[:, :HASHES], np.ascontiguousarray(sig[:, HASHES:]).view(np.uint32)
     at = np.flatnonzero(np.concatenate([[True], _edges(t)]))
@@ -272,9 +272,9 @@ def _first_pairs(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
         for t in _cells(batches):
             node = t.column("node").to_numpy()
             for i, j, _ in _candidates(t, percent, miss, False):
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j]), pa.binary()), pa.array(np.maximum(node[i], node[j]), pa.binary())], names=["a", "b"])
+                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
-    return map_arrow(_dealt(buckets), paired, "a binary, b binary")
+    return map_arrow(_dealt(buckets), paired, "a long, b long")
 
 
 def _open_members(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -296,9 +296,9 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
     skipped if links found in this task have joined its components already."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[bytes, bytes] = {}
+        up: dict[int, int] = {}
 
-        def top(x: bytes) -> bytes:
+        def top(x: int) -> int:
             while (y := up.get(x, x)) != x:
                 up[x] = up.get(y, y)
                 x = y
@@ -322,9 +322,9 @@ def _joining_links(members: DataFrame, percent: int, miss: float, size: int) ->
                         up[rx] = ry
                         links.append((min(node[x], node[y]), max(node[x], node[y])))
             a, b = zip(*links) if links else ((), ())
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(_dealt(members), linked, "a binary, b binary")
+    return map_arrow(_dealt(members), linked, "a long, b long")
 
 
 def similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -353,15 +353,18 @@ def _verified(pairs: DataFrame, content: DataFrame, percent: int, size: int) ->
     one = content.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = content.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return map_arrow(joined, checked, "a binary, b binary")
+    return map_arrow(joined, checked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept,
-    text_hash (xxhash64 of the text) and root (the same digest for all of a component, null without a set)."""
+    text_hash (xxhash64 of the text) and root (the same number for all of a component, null without a set)."""
     rows = stored(_sign(docs, size, band_rows(percent, miss)), "signatures")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = stored(nodes, "set-classes")
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
+    )
+    # the numbers are fixed by being written; all that follows reads them
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
     buckets = stored(_buckets(nodes), "buckets")
     pairs = stored(_first_pairs(buckets, percent, miss), "first-pairs").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
@@ -374,12 +377,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6, size
     more = stored(_joining_links(members.join(content, "node"), percent, miss, size), "more-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    whole = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = nodes.select("digest", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(whole.join(best, "root").select("node", "root", "component_id"), "components")
-    return rows.join(named, "node", "left").select(
+    named = stored(whole.join(best, "root").select("digest", "root", "component_id"), "components")
+    return rows.join(named, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("digest").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
         "text_hash", "root",
     )
