@@ -71,32 +71,36 @@ def keep_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return matched.unionByName(unmatched.select("*", *extra))
 
 
-def split_hot_keys(left: DataFrame, right: DataFrame, key: str, right_counts: DataFrame,
-                   hot_rows: int) -> DataFrame:
-    """Inner join ``left ⋈ right`` on ``key`` that spreads hot keys of ``right`` over tasks.
-
-    ``right_counts`` (key, n) holds the number of ``right`` rows per key; the
-    caller usually has it already. Keys with more than ``hot_rows`` rows get
-    ``ceil(n / hot_rows)`` salt buckets: each of their ``right`` rows picks a
-    bucket by a hash of its columns and the ``left`` row is copied once per
-    bucket, so the join key (key, bucket) spreads one hot key over many tasks.
-    Other keys keep bucket 0. AQE cannot split this join itself when the left
-    side comes from an earlier join in the same stage.
-
-    The hot-key list has at most total rows / ``hot_rows`` entries, a bound of
-    its own (some 200,000 for 10^12 rows), so it is broadcast. One plan for all
-    inputs: nothing runs while it is built.
+def split_left_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, n: str, others: Sequence[str],
+                    hot_rows: int) -> DataFrame:
+    """``left ⟕ right`` on ``key`` that spreads hot keys of ``right`` over tasks.
+
+    ``counts`` holds ``key``, ``n`` (the number of ``right`` rows of a key) and ``others``; ``left`` already carries
+    its columns, NULL where ``right`` has no row. Keys with more than ``hot_rows`` rows get ``ceil(n / hot_rows)``
+    salt buckets: each of their ``right`` rows picks a bucket by a hash of its columns and the ``left`` row is
+    copied once per bucket, so the join key (key, bucket) spreads one hot key over many tasks. Other keys keep
+    bucket 0. A copy whose bucket stays empty finds no row and goes; a ``left`` row without any ``right`` row is
+    told by its missing count and stays.
+
+    The hot-key list has at most total rows / ``hot_rows`` entries, a bound of its own (some 200,000 for 10^12
+    rows), so it is broadcast. Both uses of ``counts`` read all its columns (the hash of a hot row and the test of a
+    missing row take ``others`` along), whatever the caller selects later: so they stay the same plan and share one
+    exchange. Nothing runs while it is built.
     """
-    hot = F.broadcast(right_counts.where(F.col("n") > hot_rows)
-                      .select(key, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_buckets")))
-    buckets = F.coalesce(F.col("_buckets"), F.lit(1))
-    r = (right.join(hot, key, "left")
-         .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), buckets).cast("int"))
-         .drop("_buckets"))
-    lft = (left.join(hot, key, "left")
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
-           .drop("_buckets"))
-    return lft.join(r, [key, "_salt"], "inner").drop("_salt")
+    buckets = F.ceil(F.col(n) / F.lit(hot_rows)).cast("int")
+    hot = F.broadcast(counts.where(F.col(n) > hot_rows).select(
+        F.col(key).alias("_hot_key"), buckets.alias("_buckets"), F.xxhash64(*others).alias("_seed")))
+    salt = F.pmod(F.xxhash64("_seed", *[F.col(c) for c in right.columns]), F.col("_buckets")).cast("int")
+    r = (right.join(hot, F.col(key) == F.col("_hot_key"), "left")
+         .withColumn("_right_salt", F.when(F.col("_buckets").isNull(), F.lit(0)).otherwise(salt))
+         .withColumnRenamed(key, "_right_key").drop("_hot_key", "_buckets", "_seed"))
+    copies = F.when(F.col(n) > hot_rows, buckets).otherwise(F.lit(1))
+    lft = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    joined = lft.join(r, (F.col(key) == F.col("_right_key")) & (F.col("_salt") == F.col("_right_salt")), "left")
+    none = F.col(n).isNull()
+    for c in others:
+        none = none & F.col(c).isNull()
+    return joined.where(F.col("_right_key").isNotNull() | none).drop("_salt", "_right_key", "_right_salt")
 
 
 def analytic_base(orders: DataFrame, customers: DataFrame, items: DataFrame) -> DataFrame:

@@ -71,9 +71,12 @@ def payload_months(orders: DataFrame) -> DataFrame:
 
 def payload_insights(orders: DataFrame) -> DataFrame:
     """Critical orders and late rate, numbers and text."""
-    c = R.critical_orders(orders)
-    lt = R.late_rate(orders).select("taxa_atraso_pct").scalar()
-    return c.withColumn("taxa_atraso_pct", lt).select(
+    dlv = F.col("pedido_entregue") == 1
+    a = orders.agg(F.sum("pedido_critico").cast("bigint").alias("pedidos_criticos"), F.count("*").alias("total_pedidos"),
+                   F.count_if(dlv).alias("entregues"), F.count_if(dlv & (F.col("entregue_com_atraso") == 1)).alias("atrasados"))
+    c = a.withColumns({"pct_criticos": R.ratio("pedidos_criticos", "total_pedidos", 100.0),
+                       "taxa_atraso_pct": R.ratio("atrasados", "entregues", 100.0)})
+    return c.select(
         "pedidos_criticos", "total_pedidos", F.round("pct_criticos", 6).alias("pct_criticos"),
         pct_text("pct_criticos").alias("pct_criticos_texto"),
         F.round("taxa_atraso_pct", 6).alias("taxa_atraso_pct"),

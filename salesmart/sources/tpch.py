@@ -12,7 +12,7 @@ Mapping (fixed for this adapter):
 
 The delivered date is the latest ship date of the order's items, taken as an
 aggregate (map-side combined, safe for a hot order) and joined 1:1 to orders;
-itemless orders are kept without a skew-prone outer join (``keep_left_join``).
+the items are joined with hot orders salted (``split_left_join``).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.columns import item_total, year_month
-from salesmart.operators.cleaning import derive_delivery, derive_values, join_attributes, split_hot_keys
+from salesmart.operators.cleaning import derive_delivery, derive_values, join_attributes, split_left_join
 from salesmart.params import Params
 
 PRIORITY_DAYS = 365  # promised days per priority step (1-URGENT .. 5-LOW)
@@ -170,21 +170,18 @@ def driver_base(raw: RawTables, params: Params, customers: DataFrame | None = No
     dimension, joined at order grain where a report needs them. ``customers``, where
     given, are joined to the orders before the items (J1, J2).
 
-    The delivered date and the item count come from the per-order aggregate,
-    joined 1:1. Orders with items then join the items as an inner join, with
-    orders above ``params.hot_rows`` items salted over several tasks
-    (``split_hot_keys``), and itemless orders are added back from the count: no
-    outer join whose skewed side could not be split. Nothing is cached; every
-    use of the per-order rows is a scan of the items of its own.
+    The delivered date and the item count come from the per-order aggregate, joined 1:1.
+    The items then come by a left join that salts orders above ``params.hot_rows`` items
+    over several tasks (``split_left_join``), so it has no side that a hot order could
+    overfill. The items are read twice: for the aggregate, whose exchange also serves the
+    list of hot orders, and for the join. Nothing is cached.
     """
-    per_order = raw.items.groupBy("order_id").agg(
+    per_order = raw.items.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.max("shipping_limit_date").alias("order_delivered_customer_date"),
         F.count("*").alias("_n_itens"))
     orders = raw.orders if customers is None else join_attributes(raw.orders, customers, "customer_id", "order_id")
     orders = orders.join(per_order, "order_id", "left")
-    counts = per_order.select("order_id", F.col("_n_itens").alias("n"))
-    matched = split_hot_keys(orders.where(F.col("_n_itens") > 0), raw.items, "order_id", counts, params.hot_rows)
-    itemless = orders.where(F.col("_n_itens").isNull()).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in raw.items.schema.fields if f.name != "order_id"])
-    joined = matched.unionByName(itemless).drop("_n_itens").withColumn("customer_unique_id", F.col("customer_id"))
+    joined = split_left_join(orders, raw.items, "order_id", per_order, "_n_itens", ["order_delivered_customer_date"],
+                             params.hot_rows)
+    joined = joined.drop("_n_itens").withColumn("customer_unique_id", F.col("customer_id"))
     return derive_values(derive_delivery(joined, params.delivered_status))

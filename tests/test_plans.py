@@ -139,3 +139,31 @@ def test_session_leaves_partitions_to_the_cluster():
 
     assert "spark.sql.shuffle.partitions" not in session_conf()
     assert session_conf(8)["spark.sql.shuffle.partitions"] == "8"
+
+
+@pytest.mark.parametrize("key, scans", [
+    ("sales_base", 2), ("enriched_base", 2), ("analytic_base", 2), ("api_base", 2), ("profile_nulls", 2), ("profile_top_nulls", 2),
+    ("profile_duplicates", 2), ("orders_dedup", 1), ("payload_insights", 1), ("trend_quality", 1), ("item_value", 1),
+    ("item_freight_pct", 1), ("revenue_by_category", 1), ("items_by_category", 1), ("revenue_by_seller", 1)])
+def test_scans_of_the_items(static_spark, key, scans):
+    """Item-level keys read the items for the per-order rows, whose exchange also gives the hot orders, and for the join."""
+    from salesmart.plans.queries import registry
+
+    p = _plan(registry()[key](static_spark, SF01))
+    assert len([ln for ln in p.splitlines() if "FileScan parquet" in ln and "l_orderkey" in ln]) <= scans
+
+
+@pytest.mark.parametrize("columns", [["order_id", "price"], ["order_id", "atraso_entrega_dias"], []])
+def test_hot_orders_share_the_exchange(spark, columns):
+    """The executed plan with hot orders present reads the items twice, whatever columns are asked for."""
+    import dataclasses
+
+    from salesmart.params import driver_params
+    from salesmart.sources.tpch import RawTables, driver_base
+
+    df = driver_base(RawTables(spark, SF01), dataclasses.replace(driver_params(), hot_rows=3))
+    df = df.select(*columns) if columns else df.groupBy().count()
+    df.collect()
+    final = _plan(df).split("== Initial Plan ==")[0]
+    assert len([ln for ln in final.splitlines() if "FileScan parquet" in ln and "l_orderkey" in ln]) == 2
+    assert "ReusedExchange" in final

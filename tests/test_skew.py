@@ -41,3 +41,19 @@ def test_hot_order_salted_and_exact(spark):
     assert a.asDict() == b.asDict()
     row = salted.where(F.col("id_pedido") == hot).first()
     assert row["n_itens"] == n_hot
+
+
+def test_split_left_join_is_a_left_join(spark):
+    """Equal rows that share a bucket, empty buckets, rows without a match and without a key, keys only on the right."""
+    from salesmart.operators.cleaning import split_left_join
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, x string")
+    right = spark.createDataFrame([(1, None)] * 7 + [(1, 5)] * 4 + [(2, 9), (9, 1), (None, 2)], "k int, v int")
+    counts = right.where(F.col("k").isNotNull()).groupBy("k").agg(F.max("v").alias("top"), F.count("*").alias("n"))
+    with_counts = left.join(counts, "k", "left")
+    want = sorted(map(str, left.join(right, "k", "left").select("k", "x", "v").collect()))
+    for hot_rows in (1, 2, 3, 100):
+        got = split_left_join(with_counts, right, "k", counts, "n", ["top"], hot_rows)
+        assert sorted(map(str, got.select("k", "x", "v").collect())) == want
+    none = split_left_join(with_counts.where("x = 'c'"), right.limit(0), "k", counts.limit(0), "n", ["top"], 1)
+    assert [tuple(r) for r in none.select("k", "x", "v").collect()] == [(3, "c", None)]
