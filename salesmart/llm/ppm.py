@@ -14,10 +14,13 @@ for every such gram and brings it back to the texts:
 1. Texts are dealt out to blocks of about ``BLOCK_BYTES`` and written, compressed, to the shared folder.
 2. Each block gives its distinct words and grams with their counts in training texts.
 3. Words: one shuffle by word sums the counts of all blocks. Grams: counts are summed with partial
-   sums; the rows of two context bytes meet in one task, which builds their branch of the trie
-   (256**3 grams at most) and codes each gram. Contexts of one byte or none come from a table of
-   at most 256 * 256 rows, which every task gets.
-4. Counts and code lengths go back to the blocks they came from, and each block's texts are scored.
+   sums; the rows of ``DEAL`` (three) context bytes meet in one task, which builds their branch of the
+   trie (the two bytes before them and the coded one are free: 256**3 grams at most) and codes each
+   gram. What contexts of two bytes count is a table of its own (256**3 rows at most), joined by key:
+   Spark broadcasts it where its size allows. Contexts of one byte or none come from a table of at
+   most 256 * 256 rows, which every task gets.
+4. Counts and code lengths go back to the blocks they came from, over as many partitions as there are
+   blocks, and each block's texts are scored. Words are told by their rank among the block's words.
 
 The training data are never gathered anywhere: tables of words and grams grow with the corpus.
 
@@ -32,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salesmart.llm.common import map_arrow, run_folder, ship, texts
+from salesmart.llm.common import map_arrow, run_folder, ship, stored, texts
 from salesmart.llm.tokens import slices, text_buffers
 from salesmart.llm.words import LOWER, Words
 
@@ -44,7 +48,10 @@ PAD, END = 0xFE, 0xFF
 BLOCK_BYTES = 32 << 20
 #: Grams take some 50 bytes for each byte of text while they are looked up.
 GRAM_BYTES = 1 << 20
-WORD_BITS = (1 << 62) - 1
+#: Bytes of context whose grams meet in one task.
+DEAL = 3
+#: Blocks beyond this number share partitions; a task works on one block after the other.
+MAX_PARTITIONS = 200_000
 
 
 def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,17 +87,17 @@ def low_orders(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"one": one, "zero": zero, "n1": one.sum(axis=1), "d1": (one > 0).sum(axis=1), "x1": (zero[None, :] * (one > 0)).sum(axis=1)}
 
 
-def code_grams(grams: np.ndarray, counts: np.ndarray, low: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of the last byte of each distinct gram; ``grams`` must hold all grams of
-    their last two context bytes that training has."""
+def code_grams(grams: np.ndarray, counts: np.ndarray, low: dict[str, np.ndarray], two: dict[str, np.ndarray]) -> np.ndarray:
+    """log10 probability of the last byte of each distinct gram; ``grams`` must hold all grams of their last
+    ``DEAL`` context bytes that training has. ``two`` has, for each gram, what its context of two bytes counts:
+    ``c`` the coded byte, ``n`` all bytes, ``d`` distinct ones, ``x`` these bytes in the context of one."""
     out = np.zeros(len(grams))
     open_ = np.ones(len(grams), dtype=bool)
-    longer = np.zeros(len(grams), dtype=bool)  # a longer context was seen
     skip_n, skip_d = np.zeros(len(grams)), np.zeros(len(grams))
-    # counts of the contexts of ORDER .. 2 bytes
+    # counts of the contexts of ORDER .. DEAL bytes
     level, at = {}, np.arange(len(grams))
     uniq, num = grams, counts.astype(np.int64)
-    for k in range(ORDER, 1, -1):
+    for k in range(ORDER, DEAL - 1, -1):
         if k < ORDER:
             low_keys, back = np.unique(uniq & np.uint64((1 << (8 * (k + 1))) - 1), return_inverse=True)
             num = np.bincount(back, weights=num, minlength=len(low_keys)).astype(np.int64)
@@ -100,19 +107,20 @@ def code_grams(grams: np.ndarray, counts: np.ndarray, low: dict[str, np.ndarray]
         ctx, of = np.unique(uniq >> np.uint64(8), return_inverse=True)
         n = np.bincount(of, weights=num, minlength=len(ctx))
         d = np.bincount(of, weights=num > 0, minlength=len(ctx))
-        level[k] = {"keys": uniq, "num": num, "of": of, "n": n, "d": d, "at": at, "up": up}
+        level[k] = {"num": num, "of": of, "n": n, "d": d, "at": at, "up": up}
+    some = np.zeros(len(uniq), dtype=np.int64)  # a gram of each gram of DEAL context bytes
+    some[at] = np.arange(len(grams))
     first = (grams >> np.uint64(8) & np.uint64(255)).astype(np.int64)
     byte = (grams & np.uint64(255)).astype(np.int64)
     for k in range(ORDER, -1, -1):
-        if k >= 2:
+        if k >= DEAL:
             lv = level[k]
             c, n, d = lv["num"][lv["at"]], lv["n"][lv["of"]][lv["at"]], lv["d"][lv["of"]][lv["at"]]
             # what the bytes of this context count in the next shorter one
-            if k > 2:
-                short = level[k - 1]["num"][level[k - 1]["up"]]
-            else:
-                short = low["one"][(lv["keys"] >> np.uint64(8) & np.uint64(255)).astype(np.int64), (lv["keys"] & np.uint64(255)).astype(np.int64)]
+            short = level[k - 1]["num"][level[k - 1]["up"]] if k > DEAL else two["c"][some]
             x = np.bincount(lv["of"], weights=short * (lv["num"] > 0), minlength=len(lv["n"]))[lv["of"]][lv["at"]]
+        elif k == 2:
+            c, n, d, x = two["c"], two["n"], two["d"], two["x"]
         elif k == 1:
             c, n, d, x = low["one"][first, byte], low["n1"][first], low["d1"][first], low["x1"][first]
         else:
@@ -127,7 +135,6 @@ def code_grams(grams: np.ndarray, counts: np.ndarray, low: dict[str, np.ndarray]
         open_ &= ~hit
         if x is not None:
             skip_n, skip_d = np.where(seen, x, skip_n), np.where(seen, d, skip_d)
-        longer |= seen
     rest = 256 - int((low["zero"] > 0).sum())
     out[open_] -= np.log10(rest)
     return out
@@ -166,7 +173,7 @@ def _unpacked(payload: pa.Scalar) -> tuple[pa.Array, pa.Array, np.ndarray]:
 
 
 def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
-    """Distinct words or grams of each block, with their counts in its training texts."""
+    """Distinct words or grams of each block, with their counts in its training texts; words with their rank."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -178,6 +185,9 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             t = summed()
+            if what == "words":  # numbered in byte order, as the scorer of the block finds them again
+                t = t.sort_by("key")
+                t = t.append_column("id", pa.array(np.arange(len(t))))
             t = t.append_column("block", pa.array(np.full(len(t), block, dtype=np.int64)))
             yield from t.combine_chunks().to_batches(max_chunksize=100_000)
 
@@ -213,29 +223,53 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
     return map_arrow(blocks.select("block", "payload"), counted, schema)
 
 
-def _coded(totals: DataFrame, low: dict[str, np.ndarray]) -> DataFrame:
-    """(key, value): log10 probability of each gram; rows of two context bytes meet in one task."""
+TWO = (1 << 24) - 1  # two context bytes and the coded one
+
+
+def _two_bytes(spark: SparkSession, grams: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """What contexts of two bytes count, a row for each gram of them (256**3 rows at most), and what shorter ones count."""
+    counts = stored(grams.groupBy(F.col("key").bitwiseAND(F.lit(TWO)).alias("gram")).agg(F.sum("n").alias("c")), "two-byte-grams")
+    pairs = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("c").alias("short"))
+    table = np.zeros(1 << 16, dtype=np.int64)
+    for pair, n in pairs.collect():  # 256 * 256 rows at most
+        table[pair] = n
+    before = F.shiftright("gram", 8)
+    contexts = (counts.where("c > 0").join(F.broadcast(pairs), F.col("gram").bitwiseAND(F.lit(0xFFFF)) == F.col("pair"))
+                .groupBy(before.alias("before")).agg(F.sum("c").alias("n2"), F.count("*").alias("d2"), F.sum("short").alias("x2")))
+    rows = counts.withColumn("before", before).join(contexts, "before", "left")
+    return stored(rows.select("gram", F.col("c").alias("c2"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n2", "d2", "x2")]), "two-byte-contexts"), low_orders(table)
+
+
+def _coded(totals: DataFrame, two: DataFrame, low: dict[str, np.ndarray]) -> DataFrame:
+    """(key, value): log10 probability of each gram; rows of ``DEAL`` context bytes meet in one task."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[pa.RecordBatch] = []
+        rows, last = 0, None
 
-        def out(t: pa.Table) -> pa.RecordBatch:
-            key = t.column("key").to_numpy()
-            return pa.record_batch([pa.array(key), pa.array(code_grams(key.astype(np.uint64), t.column("n").to_numpy(), low))], names=["key", "value"])
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            key, n, c, n2, d2, x2 = (t.column(name).to_numpy() for name in ("key", "n", "c2", "n2", "d2", "x2"))
+            value = code_grams(key.astype(np.uint64), n, low, {"c": c, "n": n2, "d": d2, "x": x2})
+            return pa.record_batch([pa.array(key), pa.array(value)], names=["key", "value"])
 
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            t = pa.concat_tables(held)
-            ctx = t.column("ctx").to_numpy()
-            if len(t) > 200_000 and (cut := int(np.searchsorted(ctx, ctx[-1]))):
-                yield out(t.slice(0, cut))
-                t = t.slice(cut)
-            held = [t]
-        if held and len(held[0]):
-            yield out(held[0])
-
-    ctx = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    rows = totals.withColumn("ctx", ctx).repartition("ctx").sortWithinPartitions("ctx", "key")
+            if not batch.num_rows:
+                continue
+            ctx = batch.column("ctx").to_numpy()
+            cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on in the next batch
+            if ctx[-1] != last and rows + cut > 200_000:
+                held.append(batch.slice(0, cut))
+                yield out()
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows, last = rows + batch.num_rows, ctx[-1]
+        if rows:
+            yield out()
+
+    ctx = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * DEAL) - 1))
+    rows = totals.join(two, F.col("key").bitwiseAND(F.lit(TWO)) == F.col("gram")).drop("gram")
+    rows = rows.withColumn("ctx", ctx).repartition("ctx").sortWithinPartitions("ctx", "key")
     return map_arrow(rows, coded, "key long, value double")
 
 
@@ -252,52 +286,55 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     blocks = spark.read.schema(PARTS).parquet(path)
 
     # words: the sum of a word's counts, brought to every block that has it
-    words = _counted(blocks, "words", "key string, n long, block long")
+    words = _counted(blocks, "words", "key string, n long, id long, block long")
     own = Window.partitionBy("key")
-    words = words.select("key", "n", "block", F.sum("n").over(own).alias("total"), (F.row_number().over(own.orderBy("block")) == 1).alias("first"))
+    words = words.select("n", "id", "block", F.sum("n").over(own).alias("total"), (F.row_number().over(own.orderBy("block")) == 1).alias("first"))
     path = run_folder(spark, "word-counts")
     words.write.option("compression", "zstd").parquet(path)
     words = spark.read.parquet(path)
     n_words, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("total") > 0), 1))).first()
-    ends = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
+    ends, n_blocks = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_distinct("block")).first()
     n_all, distinct = n_words + ends, known + (1 if ends else 0)
 
     # grams: their counts, the trie, and the code length of each
     path = run_folder(spark, "gram-counts")
     _counted(blocks, "grams", "key long, n long, block long").write.option("compression", "zstd").parquet(path)
     grams = spark.read.parquet(path)
-    pairs = grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n"))
-    table = np.zeros(1 << 16, dtype=np.int64)
-    for pair, n in pairs.collect():  # 256 * 256 rows at most
-        table[pair] = n
-    coded = _coded(grams.groupBy("key").agg(F.sum("n").alias("n")), low_orders(table))
+    two, low = _two_bytes(spark, grams)
+    coded = _coded(grams.groupBy("key").agg(F.sum("n").alias("n")), two, low)
     back = grams.select("key", "block").join(coded, "key")
 
-    # words go back under 62 bits of their hash, below 0; within a block that tells its words apart
-    word = -F.xxhash64("key").bitwiseAND(F.lit(WORD_BITS)) - F.lit(1)
-    found = words.select("block", word.alias("key"), F.col("total").cast("double").alias("value")).unionByName(back.select("block", "key", "value"))
+    # words go back by their rank in the block, below 0
+    found = words.select("block", (-F.col("id") - 1).alias("key"), F.col("total").cast("double").alias("value")).unionByName(back.select("block", "key", "value"))
     scale = np.log10(n_all + 1 * (distinct + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        from xxhash import xxh64_intdigest
-
         key, value = right.column("key").to_numpy(), right.column("value").to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
-        del right
-        names, train, tokens, known, base, score = [], [], [], [], [], []
+        del right, order
+        n_names = int(np.searchsorted(key, 0))
+        total, key, value = value[:n_names][::-1], key[n_names:], value[n_names:]
+        held = []
         for payload in left.column("payload"):
+            w = Words(_unpacked(payload)[1])
+            held.append((w.names.cast(pa.string()), w.code.astype(np.int32), w.count))
+        ranked = pc.unique(pa.chunked_array([h[0] for h in held], pa.string()))
+        ranked = ranked.take(pc.sort_indices(ranked))
+        if len(ranked) != n_names:
+            raise ValueError(f"a block of {len(ranked)} words got the counts of {n_names}")
+        names, train, tokens, known, base, score = [], [], [], [], [], []
+        for i, payload in enumerate(left.column("payload")):
             own, part, learn = _unpacked(payload)
             n = len(own)
-            w = Words(part)
-            name = np.fromiter((-(xxh64_intdigest(x, 42) & WORD_BITS) - 1 for x in w.names.to_pylist()), dtype=np.int64, count=len(w.names))
-            c = value[np.searchsorted(key, name)][w.code] if len(w.code) else np.zeros(0)
-            row = np.repeat(np.arange(n), w.count)
+            word, code, count = held[i]
+            c = total[pc.index_in(word, value_set=ranked).to_numpy(zero_copy_only=False)][code] if len(code) else np.zeros(0)
+            row = np.repeat(np.arange(n), count)
             names.append(own)
             train.append(learn)
-            tokens.append(w.count + 1)
+            tokens.append(count + 1)
             known.append(np.bincount(row, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0))
-            base.append(np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1) - (w.count + 1) * scale)
+            base.append(np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1) - (count + 1) * scale)
             for x, y in slices(text_buffers(part)[1], GRAM_BYTES):
                 data, offsets = text_buffers(part.slice(x, y - x))
                 keys, at = gram_keys(LOWER[data], offsets)
@@ -308,5 +345,6 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
         cols = [pa.concat_arrays(names), *(pa.array(np.concatenate(x)) for x in (train, tokens, known, base, score))]
         return pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")])
 
-    out = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, SCORES)
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks), MAX_PARTITIONS)
+    out = blocks.repartition(parts, "block").groupBy("block").cogroup(found.repartition(parts, "block").groupBy("block")).applyInArrow(scored, SCORES)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
