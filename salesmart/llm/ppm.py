@@ -19,8 +19,8 @@ for every such gram and brings it back to the texts:
    gram. What contexts of two bytes count is a table of its own (256**3 rows at most), joined by key:
    Spark broadcasts it where its size allows. Contexts of one byte or none come from a table of at
    most 256 * 256 rows, which every task gets.
-4. Counts and code lengths go back to the blocks they came from, over as many partitions as there are
-   blocks, and each block's texts are scored. Words are told by their rank among the block's words.
+4. Counts and code lengths go back to the blocks they came from, a block to a partition, and each
+   block's texts are scored. Words are told by their rank among the block's words.
 
 The training data are never gathered anywhere: tables of words and grams grow with the corpus.
 
@@ -293,7 +293,8 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     words.write.option("compression", "zstd").parquet(path)
     words = spark.read.parquet(path)
     n_words, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("total") > 0), 1))).first()
-    ends, n_blocks = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_distinct("block")).first()
+    task, nth = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    ends, n_blocks, tasks, most = blocks.agg(*[F.coalesce(c, F.lit(0)) for c in (F.sum("n_train"), F.count_distinct("block"), F.max(task) + 1, F.max(nth) + 1)]).first()
     n_all, distinct = n_words + ends, known + (1 if ends else 0)
 
     # grams: their counts, the trie, and the code length of each
@@ -345,6 +346,9 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
         cols = [pa.concat_arrays(names), *(pa.array(np.concatenate(x)) for x in (train, tokens, known, base, score))]
         return pa.table(cols, names=[c.split()[0] for c in SCORES.split(", ")])
 
-    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks), MAX_PARTITIONS)
-    out = blocks.repartition(parts, "block").groupBy("block").cogroup(found.repartition(parts, "block").groupBy("block")).applyInArrow(scored, SCORES)
+    # blocks are numbered across the tasks that dealt them: first ones, second ones, ...
+    own = (nth * F.lit(tasks) + task).cast("int")
+    parts = max(min(tasks * most, 2 * n_blocks, MAX_PARTITIONS), 1)
+    sides = [x.withColumn("block", own).repartitionById(parts, F.col("block")).groupBy("block") for x in (blocks, found)]
+    out = sides[0].cogroup(sides[1]).applyInArrow(scored, SCORES)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
