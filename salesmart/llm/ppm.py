@@ -48,6 +48,8 @@ PAD, END = 0xFE, 0xFF
 BLOCK_BYTES = 32 << 20
 #: Grams take some 50 bytes for each byte of text while they are looked up.
 GRAM_BYTES = 1 << 20
+#: Words take some 30 bytes for each byte of text while they are cut.
+WORD_BYTES = 2 << 20
 #: Bytes of context whose grams meet in one task.
 DEAL = 3
 #: Blocks beyond this number share partitions; a task works on one block after the other.
@@ -316,26 +318,39 @@ def score_texts(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
         del right, order
         n_names = int(np.searchsorted(key, 0))
         total, key, value = value[:n_names][::-1], key[n_names:], value[n_names:]
-        held = []
+        held = []  # words of each slice of each part: distinct ones, their places, how many a text has
         for payload in left.column("payload"):
-            w = Words(_unpacked(payload)[1])
-            held.append((w.names.cast(pa.string()), w.code.astype(np.int32), w.count))
-        ranked = pc.unique(pa.chunked_array([h[0] for h in held], pa.string()))
-        ranked = ranked.take(pc.sort_indices(ranked))
-        if len(ranked) != n_names:
-            raise ValueError(f"a block of {len(ranked)} words got the counts of {n_names}")
+            part, cut = _unpacked(payload)[1], []
+            for x, y in slices(text_buffers(part)[1], WORD_BYTES):
+                w = Words(part.slice(x, y - x))
+                cut.append((w.names.cast(pa.string()), w.code.astype(np.int32), w.count.astype(np.int32)))
+                del w
+            held.append(cut)
+            del part, cut
+        # one dictionary for all slices, and the rank of each of its words
+        coded = pa.concat_arrays([pa.array([], pa.string()), *(w[0] for cut in held for w in cut)]).dictionary_encode()
+        words, place = coded.dictionary, coded.indices.to_numpy()
+        if len(words) != n_names:
+            raise ValueError(f"a block of {len(words)} words got the counts of {n_names}")
+        of_word = np.zeros(n_names)
+        of_word[pc.sort_indices(words).to_numpy()] = total
+        seen = of_word[place]
+        ends_at = iter(np.cumsum([len(w[0]) for cut in held for w in cut]).tolist())
+        held = [[(seen[end - len(word) : end], code, count) for word, code, count in cut for end in [next(ends_at)]] for cut in held]
+        del coded, words, place, of_word, total
+        pa.default_memory_pool().release_unused()
         names, train, tokens, known, base, score = [], [], [], [], [], []
         for i, payload in enumerate(left.column("payload")):
             own, part, learn = _unpacked(payload)
-            n = len(own)
-            word, code, count = held[i]
-            c = total[pc.index_in(word, value_set=ranked).to_numpy(zero_copy_only=False)][code] if len(code) else np.zeros(0)
-            row = np.repeat(np.arange(n), count)
             names.append(own)
             train.append(learn)
-            tokens.append(count + 1)
-            known.append(np.bincount(row, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0))
-            base.append(np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1) - (count + 1) * scale)
+            for word, code, count in held[i]:
+                c, n = word[code], len(count)
+                row = np.repeat(np.arange(n), count)
+                tokens.append(count.astype(np.int64) + 1)
+                known.append(np.bincount(row, weights=c > 0, minlength=n).astype(np.int64) + (ends > 0))
+                base.append(np.bincount(row, weights=np.log10(c + 1), minlength=n) + np.log10(ends + 1) - (count + 1) * scale)
+            held[i] = None
             for x, y in slices(text_buffers(part)[1], GRAM_BYTES):
                 data, offsets = text_buffers(part.slice(x, y - x))
                 keys, at = gram_keys(LOWER[data], offsets)
