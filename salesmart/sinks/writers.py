@@ -63,8 +63,8 @@ def create_database(spark: SparkSession, name: str) -> None:
 
 
 def list_tables(spark: SparkSession, database: str) -> DataFrame:
-    """Tables of a database, ordered by name."""
-    rows = [(database, t.name) for t in spark.catalog.listTables(database)]
+    """Tables and views of a database, ordered by name, without the session's temporary views."""
+    rows = [(database, t.name) for t in spark.catalog.listTables(database) if not t.isTemporary]
     return spark.createDataFrame(rows, "table_schema string, table_name string").orderBy("table_name")
 
 
