@@ -12,24 +12,41 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from salesmart.functions.columns import year_month
 from salesmart.operators.mart import Mart
-from salesmart.session import shared_path
+from salesmart.session import settings, shared_path
 from salesmart.sinks.writers import write_parquet
 
 TABLES = ("fato_vendas", "dim_clientes", "dim_produtos", "dim_vendedores", "dim_tempo")
 
 
-def store_mart(mart: Mart, root: str) -> None:
-    # rows of a month come together, so a month gets few files; AQE splits a large one
+#: Bytes of input files for each shuffle partition while the mart is built: their rows, some ten times as large once
+#: they lie in memory, are sorted there without a spill where a task has 100 MB.
+PARTITION_BYTES = 4 << 20
+#: Of larger inputs each partition holds more.
+MAX_PARTITIONS = 20_000
+
+
+def store_mart(mart: Mart, root: str, input_bytes: int = 0) -> None:
+    """Write the mart; the larger its input files, the more tasks share its joins, so none has more to sort."""
+    spark = mart.fato.sparkSession
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-input_bytes // PARTITION_BYTES), MAX_PARTITIONS)
+    # a task of the scan holds its orders while it sums their items
+    sized = {"spark.sql.shuffle.partitions": str(max(own, wanted)), "spark.sql.files.maxPartitionBytes": "16m"}
+    # rows of a month come together, so a month gets few files; AQE splits a large one. Partitions are not merged
+    # again, and the few months of a task are written side by side instead of sorted
     fact = mart.fato.withColumn("ano_mes", year_month("data")).hint("rebalance", "ano_mes")
-    write_parquet(fact, os.path.join(root, "fato_vendas"), ["ano_mes"])
-    for name, df in zip(TABLES[1:], mart[1:]):
-        write_parquet(df, os.path.join(root, name))
+    with settings(spark, sized | {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "32"}):
+        write_parquet(fact, os.path.join(root, "fato_vendas"), ["ano_mes"])
+    # dimensions are small, but their keys come from all items, so their partitions are merged to that size only
+    with settings(spark, sized | {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES)}):
+        for name, df in zip(TABLES[1:], mart[1:]):
+            write_parquet(df, os.path.join(root, name))
 
 
 def load_mart(spark: SparkSession, root: str) -> Mart:
@@ -39,16 +56,21 @@ def load_mart(spark: SparkSession, root: str) -> Mart:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def file_marks(spark: SparkSession, paths: list[str]) -> str:
-    """A hash of name, length and time of all files of some inputs, as their file systems list them."""
-    jvm, conf, marks = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+def listed_files(spark: SparkSession, paths: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(name, length, time) of all files of some inputs, as their file systems list them."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
         files = jvm.org.apache.hadoop.fs.Path(path)
         listed = files.getFileSystem(conf).listFiles(files, True)
         while listed.hasNext():
             f = listed.next()
-            marks.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
-    return hashlib.sha256("\n".join(sorted(marks)).encode()).hexdigest()[:24]
+            yield f.getPath().toString(), f.getLen(), f.getModificationTime()
+
+
+def file_marks(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of name, length and time of all files of some inputs."""
+    marks = sorted(" ".join(map(str, f)) for f in listed_files(spark, paths))
+    return hashlib.sha256("\n".join(marks).encode()).hexdigest()[:24]
 
 
 def stored_mart(spark: SparkSession, mart: Callable[[], Mart], inputs: list[str]) -> Mart:
@@ -57,7 +79,7 @@ def stored_mart(spark: SparkSession, mart: Callable[[], Mart], inputs: list[str]
     key = (spark.sparkContext.applicationId, file_marks(spark, inputs))
     if key not in _STORED:
         root = shared_path(spark, f"mart-{key[1]}-{uuid.uuid4().hex}")
-        store_mart(mart(), root)
+        store_mart(mart(), root, sum(n for _, n, _ in listed_files(spark, inputs)))
         _STORED[key] = root
     return load_mart(spark, _STORED[key])
 
