@@ -46,10 +46,10 @@ from salesmart.llm.words import LOWER, Words
 ORDER = 5
 PAD, END = 0xFE, 0xFF
 BLOCK_BYTES = 32 << 20
-#: Grams take some 50 bytes for each byte of text while they are looked up.
+#: Grams take some 50 bytes for each byte of text while they are counted or looked up.
 GRAM_BYTES = 1 << 20
 #: Words take some 30 bytes for each byte of text while they are cut.
-WORD_BYTES = 2 << 20
+WORD_BYTES = 1 << 20
 #: Bytes of context whose grams meet in one task.
 DEAL = 3
 #: Blocks beyond this number share partitions; a task works on one block after the other.
@@ -182,7 +182,7 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
         block, size = None, 0
 
         def summed() -> pa.Table:
-            t = pa.concat_tables(held).group_by("key").aggregate([("n", "sum")])
+            t = pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("n", "sum")])
             return pa.table({"key": t.column("key"), "n": t.column("n_sum")})
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
                     held, size = [], 0
                 block = own
                 _, part, learn = _unpacked(payload)
-                for a, b in slices(text_buffers(part)[1]):
+                for a, b in slices(text_buffers(part)[1], WORD_BYTES if what == "words" else GRAM_BYTES):
                     if what == "words":
                         w = Words(part.slice(a, b - a))
                         mask = np.repeat(learn[a:b], w.count)
@@ -214,7 +214,7 @@ def _counted(blocks: DataFrame, what: str, schema: str) -> DataFrame:
                         new = np.setdiff1d(keys[~mask], seen)
                         held.append(pa.table({"key": pa.array(np.concatenate([seen, new]).astype(np.int64)), "n": pa.array(np.concatenate([n, np.zeros(len(new), np.int64)]))}))
                     size += len(held[-1])
-                    if size > 1_000_000:
+                    if size > max(1_000_000, 2 * len(held[0])):  # the first holds all sums so far
                         held = [summed()]
                         size = len(held[0])
         if held:

@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +188,25 @@ def test_code_lengths(spark, odd, none):
     assert ppm.score_texts(none).count() == 0
 
 
+def test_counting_grams_holds_little_of_a_block(spark, monkeypatch):
+    """4 MB of text at once took some 60 bytes for each of its bytes, in each worker of an executor."""
+    rng = np.random.default_rng(3)
+    texts = pa.array([bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)).decode() for _ in range(210)])
+    batch = pa.record_batch([pa.array(range(210)), texts, pa.array([i % 3 > 0 for i in range(210)])], names=["doc_id", "text", "train"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    block = pa.record_batch([pa.array([0]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "payload"])
+    monkeypatch.setattr(ppm, "map_arrow", lambda df, f, schema: f)
+    counted = ppm._counted(spark.createDataFrame([], ppm.PARTS), "grams", "key long, n long, block long")
+    tracemalloc.start()
+    rows = sum(int(np.sum(b.column("n").to_numpy())) for b in counted(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 140 * 20_001
+    assert peak < 100 << 20
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
